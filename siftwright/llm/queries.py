@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql_near_dup
 from .common import doc_hash_mod, read_table
 
 
@@ -19,5 +20,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_toxicity": op7_toxicity}
-SQL: dict[str, str] = {}
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import near_dup
+
+    return near_dup.cluster(read_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_dup": op2_near_dup,
+    "op7_toxicity": op7_toxicity,
+}
+SQL: dict[str, str] = {
+    "op2_near_dup": sql_near_dup.OP2,
+}
