@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sql_near_dup
+from . import sql_near_dup, sql_texts
 from .common import doc_hash_mod, read_table
 
 
@@ -26,10 +26,37 @@ def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.cluster(read_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    found = decontaminate.matches(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select("doc_id", F.size("item_ids").cast("long").alias("n_items"), F.concat_ws(";", F.col("item_ids").cast("array<string>")).alias("item_ids"), "containment")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents", "doc_id", "source"))
+    return mixed.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "mix_rank", "mix_slot", "mix_within")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    done = pii.pseudonymise(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    n = {k: F.coalesce(F.try_element_at("pii", F.lit(k)), F.lit(0)).cast("long") for k in pii.KINDS}
+    return done.select("doc_id", "text", *(v.alias(f"n_{k}") for k, v in n.items()))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dup": op2_near_dup,
+    "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
+    "op8_mixing": op8_mixing,
+    "op10_pii": op10_pii,
 }
 SQL: dict[str, str] = {
     "op2_near_dup": sql_near_dup.OP2,
+    "op6_decontaminate": sql_texts.OP6,
+    "op8_mixing": sql_texts.OP8,
 }
