@@ -34,11 +34,12 @@ from pyspark.sql.types import LongType, MapType, StringType, StructField, Struct
 ROUNDS = 10
 KEY_CONF = "spark.siftwright.pii.key"
 DEFAULT_KEY = "siftwright-example-key"  # for tests; a deployment sets KEY_CONF
-KINDS = ("secret", "email", "iban", "card", "ssn", "phone", "ip", "date")
+KINDS = ("secret", "access_key", "email", "iban", "card", "ssn", "phone", "ip", "date")
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  # to the end of 2099
 
 PATTERN = re.compile(
     r"""(?P<secret>\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b["']?\s*[=:]\s*["']?(?P<value>[A-Za-z0-9_\-]{8,}))
+    |(?P<access_key>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b)
     |(?P<email>(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,})
     |(?P<iban>\b[A-Z]{2}[0-9]{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?\b)
     |(?P<date>(?<![0-9A-Za-z./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/\-]|\.[0-9]))
@@ -50,6 +51,9 @@ PATTERN = re.compile(
 )
 
 
+HEX = re.compile("(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{8,}")  # digits and letters a to f
+
+
 class Feistel:
     """A keyed permutation of the integers below a size, for each name of a format."""
 
@@ -123,16 +127,21 @@ class Pseudonyms:
         out = []
         for at in range(0, len(text), 64):
             part = text[at : at + 64]
-            alphabets = _classes(part, bool(re.fullmatch("[0-9a-f]{8,}", text)))
+            hexadecimal = bool(HEX.fullmatch(part))
+            alphabets = _classes(part, hexadecimal)
             x, size = 0, 1
             for c, a in zip(part, alphabets, strict=True):
                 x, size = x * len(a) + a.index(c), size * len(a)
-            x = self.step(name + "".join(str(len(a)) for a in alphabets), x, size) if size > 1 else x
-            new = []
-            for a in reversed(alphabets):
-                x, d = divmod(x, len(a))
-                new.append(a[d])
-            out += reversed(new)
+            new = part
+            while size > 1:
+                x = rest = self.step(name + "-".join(str(len(a)) for a in alphabets), x, size)
+                new = ""
+                for a in reversed(alphabets):
+                    rest, d = divmod(rest, len(a))
+                    new = a[d] + new
+                if bool(HEX.fullmatch(new)) == hexadecimal:
+                    break
+            out.append(new)
         return "".join(out)
 
     def of(self, kind: str, text: str) -> str | None:
@@ -142,6 +151,9 @@ class Pseudonyms:
     def secret(self, text: str) -> str | None:
         return self.mixed("secret", text)
 
+    def access_key(self, text: str) -> str | None:
+        return text[:4] + self.mixed("access", text[4:])
+
     def email(self, text: str) -> str | None:
         local, host = text.rsplit("@", 1)
         labels = host.split(".")
