@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sql_near_dup, sql_texts
+from . import sql_near_dup, sql_pages, sql_texts
 from .common import doc_hash_mod, read_table
 
 
@@ -20,6 +20,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    records = warc.read(warc.archive(read_table(spark, sf_dir, "pages", "page_id", "url", "html")))
+    return warc.revisits(records, 0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import near_dup
 
@@ -49,6 +56,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_near_dup": op2_near_dup,
     "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
@@ -56,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 SQL: dict[str, str] = {
+    "op1_warc": sql_pages.OP1,
     "op2_near_dup": sql_near_dup.OP2,
     "op6_decontaminate": sql_texts.OP6,
     "op8_mixing": sql_texts.OP8,
