@@ -12,6 +12,9 @@
    first, are confirmed on the full sets unless they are in one component already.
 4. The components of the confirmed links are the result: one row per document.
 
+Joins with the corpus are merge joins at every size, so that small and large runs move the
+same share of the input.
+
 A pair at the threshold shares no band with a chance of about 2e-6.
 
 Nulls and edges: a null or empty text, or one without words, has no shingles and
@@ -205,7 +208,7 @@ def cluster(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
     classes = written(classes, "near-classes")
     keyed = classes.select("class_id", F.explode("keys").alias("key"))
     leaders = keyed.groupBy("key").agg(F.min("class_id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
-    stars = keyed.join(leaders, "key").where("class_id <> leader").select(F.col("class_id").alias("a"), F.col("leader").alias("b"))
+    stars = keyed.join(leaders.hint("merge"), "key").where("class_id <> leader").select(F.col("class_id").alias("a"), F.col("leader").alias("b"))
     groups = components(stars, "near-candidates")
     members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     members = written(members.join(classes.select(F.col("class_id").alias("node"), "n_shingles"), "node"), "near-members")
@@ -218,9 +221,9 @@ def cluster(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
         F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"),
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    links = written(confirmed(dealt.join(texts, "doc_id"), k, percent), "near-links")
+    links = written(confirmed(texts.join(dealt.hint("merge"), "doc_id"), k, percent), "near-links")
     roots = components(links, "near-components").withColumnRenamed("node", "class_id")
-    out = signed.join(classes.drop("keys"), ["n_shingles", "f1", "f2"], "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id"))).join(roots, "class_id", "left")
+    out = signed.join(classes.drop("keys").hint("merge"), ["n_shingles", "f1", "f2"], "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id"))).join(roots, "class_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("root", "class_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
