@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sql_near_dup, sql_pages, sql_texts
+from . import sql_near_dup, sql_pages, sql_texts, sql_vectors
 from .common import doc_hash_mod, read_table
 
 
@@ -33,6 +33,22 @@ def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.cluster(read_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import hamming
+
+    rows = hamming.sign_codes(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")).select(F.col("vec_id").alias("id"), "code")
+    return hamming.search(rows, rows.where("id % 100 = 0"), 10).withColumnRenamed("id", "vec_id")
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language
+
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held = doc_hash_mod("doc_id", 3) == 1
+    network = language.train(docs.where(~held))
+    return language.identify(docs.select("doc_id", "text"), network).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
@@ -58,6 +74,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_near_dup": op2_near_dup,
+    "op3_hamming_topk": op3_hamming_topk,
+    "op4_language": op4_language,
     "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
@@ -66,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_warc": sql_pages.OP1,
     "op2_near_dup": sql_near_dup.OP2,
+    "op3_hamming_topk": sql_vectors.OP3,
     "op6_decontaminate": sql_texts.OP6,
     "op8_mixing": sql_texts.OP8,
 }
