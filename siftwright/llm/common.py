@@ -18,6 +18,7 @@ U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C55)  # odd, so it has an inverse modulo 2**64
 INVERSE = U64(pow(int(BASE), -1, 2**64))
 PIECE = 1 << 21  # bytes of text that are hashed at once, unless one text is longer
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -38,7 +39,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """The rows of df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # the shuffle files of this write go when it ends
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -63,6 +63,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "mix_rank", "mix_slot", "mix_within")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffixes
+
+    done = suffixes.remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
@@ -79,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
+    "op9_repeats": op9_repeats,
     "op10_pii": op10_pii,
 }
 SQL: dict[str, str] = {
@@ -87,4 +96,5 @@ SQL: dict[str, str] = {
     "op3_hamming_topk": sql_vectors.OP3,
     "op6_decontaminate": sql_texts.OP6,
     "op8_mixing": sql_texts.OP8,
+    "op9_repeats": sql_texts.OP9,
 }

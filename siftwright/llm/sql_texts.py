@@ -1,4 +1,4 @@
-"""DuckDB SQL for op6 and op8."""
+"""DuckDB SQL for op6, op8 and op9."""
 
 from .sql_near_dup import WORDS
 
@@ -29,3 +29,18 @@ WITH RECURSIVE
 SELECT r.doc_id, r.s AS source, r.mix_rank, ((r.mix_rank // 32) // n) * l + slot AS mix_slot, r.mix_rank % 32 AS mix_within
 FROM ranked r JOIN share USING (s) CROSS JOIN size JOIN plan p ON p.s = r.s AND p.k = (r.mix_rank // 32) % n
 """
+
+OP9 = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+  win AS (SELECT doc_id, unnest(range(0, len(x) // 2 - 199)) AS s, x FROM t),
+  hashed AS (SELECT doc_id, s, md5_number(substr(x, 2 * s + 1, 400)) AS h FROM win),
+  twice AS (SELECT h FROM hashed GROUP BY h HAVING count(*) > 1),
+  hit AS (SELECT doc_id, s, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS gap FROM hashed SEMI JOIN twice USING (h)),
+  run AS (SELECT doc_id, s, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS r FROM hit),
+  span AS (SELECT doc_id, r, min(s) AS b, max(s) + 200 AS e FROM run GROUP BY doc_id, r),
+  edge AS (SELECT doc_id, list(b ORDER BY b) AS bs, list(e ORDER BY b) AS es, sum(e - b) AS removed FROM span GROUP BY doc_id)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(len(bs), 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN bs IS NULL THEN x ELSE array_to_string(list_transform(range(0, len(bs) + 1), lambda i:
+    substr(x, 2 * (CASE WHEN i = 0 THEN 0 ELSE es[i] END) + 1, 2 * ((CASE WHEN i = len(bs) THEN len(x) // 2 ELSE bs[i + 1] END) - (CASE WHEN i = 0 THEN 0 ELSE es[i] END)))), '') END)) AS kept_sha256
+FROM t LEFT JOIN edge USING (doc_id)
+"""
