@@ -49,6 +49,14 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), network).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import passages
+
+    done = passages.deduplicate(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    spans = F.concat_ws(";", F.transform("spans", lambda x: F.concat_ws("-", x["s"], x["e"])))
+    return done.select("doc_id", "class_id", "n_words", "n_repeated", F.size("spans").cast("long").alias("n_spans"), spans.alias("spans"), "n_links", F.concat_ws(";", F.col("leaders").cast("array<string>")).alias("leader_ids"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
@@ -84,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dup": op2_near_dup,
     "op3_hamming_topk": op3_hamming_topk,
     "op4_language": op4_language,
+    "op5_passages": op5_passages,
     "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
