@@ -1,4 +1,14 @@
 """The registered queries over the driver's tables, and their SQL."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import queries_fixtures, queries_pages, queries_store
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = queries_pages.QUERIES | queries_store.QUERIES | queries_fixtures.QUERIES
+SQL: dict[str, str] = queries_pages.SQL | queries_store.SQL | queries_fixtures.SQL
