@@ -49,7 +49,8 @@ def social(links: Column) -> Column:
     """Map of platform to the last profile link on it."""
     # fixed values: what a profile link looks like
     forms = {"linkedin": r"linkedin\.com/company/[^/\s]+", "facebook": r"facebook\.com/[^/\s]+", "twitter": r"(?:twitter|x)\.com/[^/\s]+", "instagram": r"instagram\.com/[^/\s]+", "youtube": r"youtube\.com/(?:c/|channel/|user/)[^/\s]+"}
-    entries = [F.struct(F.lit(name).alias("k"), F.try_element_at(F.filter(links, lambda x, p=p: x.rlike(p)), F.lit(-1)).alias("v")) for name, p in forms.items()]
+    last = lambda form: F.try_element_at(F.filter(links, lambda x: x.rlike(form)), F.lit(-1))
+    entries = [F.struct(F.lit(name).alias("k"), last(form).alias("v")) for name, form in forms.items()]
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"].isNotNull()))
 
 
