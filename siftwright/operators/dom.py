@@ -41,6 +41,8 @@ class Page(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES and self.open and self.open[-1][0] in CLOSES[tag]:
             self.open.pop()
+        if tag in BLOCKS and tag != "br" and self.open and self.open[-1][0] == "p":
+            self.open.pop()
         footer, noise, main = self._state()
         attrs = {k: v or "" for k, v in attrs}
         if tag == "html":
@@ -69,6 +71,8 @@ class Page(HTMLParser):
     def _break(self):
         self.text.append("\n")
         self.main.append("\n")
+        for _, node in self.open:
+            node["parts"].append(" ")
 
     def handle_data(self, data):
         if any(t in SILENT for t, _ in self.open):
