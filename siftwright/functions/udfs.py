@@ -7,6 +7,7 @@ from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 # fixed values: frequent words by language
 STOP_WORDS = {
@@ -19,7 +20,7 @@ STOP_WORDS = {
 }
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def robots_allows(body: pd.Series, url: pd.Series) -> pd.Series:
     """Whether robots.txt lets any agent read the URL; true without a body."""
 
@@ -33,7 +34,7 @@ def robots_allows(body: pd.Series, url: pd.Series) -> pd.Series:
     return pd.Series([one(b, u) for b, u in zip(body, url, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stop_word_language(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The language whose frequent words a text has most of; '' without any, or without text."""
     sets = {k: set(v) for k, v in STOP_WORDS.items()}
