@@ -3,7 +3,8 @@
 Each round rewrites the links so that every document points at the smallest
 document it knows of; the number of rounds grows with the logarithm of the
 longest path. Links stay in tables; only their count and a checksum reach the
-driver.
+driver. Minima are written before they are joined, so that both sides of a join are
+plain exchanges and a document with very many links can be split.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ def components(links: DataFrame, label: str = "components", rounds: int = 60) ->
             break
         before = state
         both = now.select(F.col("v").alias("u"), F.col("m").alias("w")).unionByName(now.select(F.col("m").alias("u"), F.col("v").alias("w")))
-        low = both.groupBy("u").agg(F.min("w").alias("m"))
+        low = written(both.groupBy("u").agg(F.min("w").alias("m")), label)
         large = both.join(low, "u").where("w > u").select(F.col("w").alias("v"), F.least("m", "u").alias("m")).distinct()
-        low = large.groupBy("v").agg(F.min("m").alias("low"))
+        large = written(large, label)
+        low = written(large.groupBy("v").agg(F.min("m").alias("low")), label)
         small = large.join(low, "v").where("m <> low").select(F.col("m").alias("v"), F.col("low").alias("m"))
         now = written(small.unionByName(low.select("v", F.col("low").alias("m"))).distinct(), label)
     else:

@@ -208,6 +208,7 @@ def cluster(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
     classes = written(classes, "near-classes")
     keyed = classes.select("class_id", F.explode("keys").alias("key"))
     leaders = keyed.groupBy("key").agg(F.min("class_id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
+    leaders = written(leaders, "near-leaders")  # a plain exchange, so that a large bucket can be split in the join
     stars = keyed.join(leaders.hint("merge"), "key").where("class_id <> leader").select(F.col("class_id").alias("a"), F.col("leader").alias("b"))
     groups = components(stars, "near-candidates")
     members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
