@@ -280,6 +280,7 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, group: int = GR
     """(doc_id, s, e): byte ranges of texts, possibly overlapping, that together are all repeated bytes."""
     found = written(segments(docs, span, gram), "suffix-segments")
     anchors = found.groupBy("a").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high")).where("n > 1")
+    anchors = written(anchors, "suffix-anchors")  # a plain exchange, so that a frequent anchor can be split in the join
     shared = written(found.join(anchors.select("a", (F.col("low") != F.col("high")).alias("mixed")).hint("merge"), "a"), "suffix-shared")
     whole = shared.where("not mixed").select("d", "s", "e")
     mixed = shared.where("mixed")
