@@ -271,6 +271,8 @@ def revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     Without any page_id among equal payloads all are responses.
     """
+    records = written(records, "warc-records")
     first = records.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("_first"))
+    first = written(first, "warc-first")  # a plain exchange, so that a frequent payload can be split in the join
     again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return records.join(first, ["payload_digest", "payload_bytes"], "left").withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("_first"))}).drop("_first")
