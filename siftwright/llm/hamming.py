@@ -35,13 +35,10 @@ BLOCK = 2048  # queries that are compared with all codes at once
 def sign_codes(vectors: DataFrame, vector: str = "embedding", output: str = "code") -> DataFrame:
     """vectors with a 64-bit code: bit i is set where the sum of the components at i, i + 64, ... is over 0. A null or empty vector has a null code."""
     v = F.col(vector)
-    part = lambda i: F.aggregate(F.filter(F.transform(v, lambda x, n: F.when(n % BITS == i, x.cast("double"))), lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)
-    short = lambda i: F.coalesce(F.try_element_at(v, F.lit(i + 1)).cast("double"), F.lit(0.0))
-    code = F.lit(0).cast("long")
-    for i in range(BITS):
-        x = F.when(F.size(v) <= BITS, short(i)).otherwise(part(i))
-        code = code.bitwiseOR(F.when((x > 0) & ~F.isnan(x), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return vectors.withColumn(output, F.when(F.size(v) > 0, code))
+    n = F.size(v)
+    folded = F.transform(F.sequence(F.lit(0), F.least(F.lit(BITS), n) - 1), lambda i: F.aggregate(F.sequence(i, n - 1, F.lit(BITS)), F.lit(0.0), lambda a, j: a + F.coalesce(F.element_at(v, j + 1).cast("double"), F.lit(0.0))))
+    bits = F.transform(folded, lambda x, i: F.when((x > 0) & ~F.isnan(x), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return vectors.withColumn(output, F.when(n > 0, F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))))
 
 
 def segments(n_codes: int) -> int:
