@@ -139,7 +139,7 @@ def test_toxicity_on_held_out(spark, prose):
 
 def test_toxicity_without_labels(spark, docs):
     scores = toxicity.score_documents(docs, toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int")))
-    assert {r.score for r in scores.collect()} == {pytest.approx(0, abs=1e-9)}
+    assert all(r.score < 1e-9 for r in scores.collect())
 
 
 def test_schedule_keeps_pfair_bounds():
@@ -163,8 +163,8 @@ def test_mix_places_every_row_once(spark):
     slots = sorted({(r.mix_slot, r.source) for r in out if r.source in ("big", "s0")})
     big = [s for s, x in slots if x == "big"]
     assert big == sorted(big)
-    plan = got.queryExecution.executedPlan().toString() if hasattr(got, "queryExecution") else got._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "ExistingRDD" not in plan.split("LogicalRDD")[0] or True
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan and "MapInArrow" not in plan and "MapInPandas" not in plan
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
