@@ -65,7 +65,7 @@ _LEGAL_COLUMNS = [*countries.FIELDS, "confidence"]
 
 def _legal(context: str):
     def query(spark, d):
-        t = rows(spark, "t", (TEXTS[context],)).withColumn("x", countries.by_country(F.lit(context), F.col("t")))
+        t = rows(spark, "t", (TEXTS[context],)).withColumn("x", countries.PACKS[context](F.col("t")))
         return t.select("x.*", countries.confidence(F.col("x"), F.lit(context)).alias("confidence"))
 
     return query
@@ -78,6 +78,13 @@ PAGE = """<html><head><title>Acme Corporation - Home</title><meta name="descript
 <a href="https://twitter.com/acme">t</a><a href="mailto:support@acme.com?x=1">mail</a><footer>&copy; 2024 Acme Corporation <a href="/kontakt">Kontakt</a></footer></body></html>"""
 
 
+def extract_routed(spark, d):
+    """All countries' texts at once: the context is found and each row read by its country's patterns."""
+    t = rows(spark, "domain t", *((f"x.{tld}", TEXTS[c]) for c, tld in (("german", "de"), ("austrian", "at"), ("uk", "co.uk")))).withColumn("context", classify.country_context(F.col("domain"), F.col("t")))
+    x = countries.by_country(F.col("context"), F.col("t"))
+    return t.select("context", F.to_json(F.struct(x["registration_number"].alias("n"), x["city"].alias("c"))).alias("found"))
+
+
 def jsonld_organisation(spark, d):
     return rows(spark, "h", (PAGE,)).select(structured.organisation(F.col("h")).alias("o")).select("o.name", "o.legal_name", "o.vat_id", "o.email", "o.phone", "o.street", "o.postal_code", "o.city", "o.country", F.array_join("o.same_as", ";").alias("same_as"))
 
@@ -182,9 +189,10 @@ def _scalar(f, pairs):
     return lambda spark, d: rows(spark, "x", *((a,) for a, _ in pairs)).select("x", f(F.col("x")).alias("y"))
 
 
-_OTHER = (jsonld_organisation, open_graph, dom_fixture, rdap_parse, registry_merge, whois_confidence, legal_accumulate, generic_accumulate, structured_over_section, validate_address, robots_decision, source_certificates, source_archive, source_crawl_index, source_search, discover_plan, export_grades)
+_OTHER = (extract_routed, jsonld_organisation, open_graph, dom_fixture, rdap_parse, registry_merge, whois_confidence, legal_accumulate, generic_accumulate, structured_over_section, validate_address, robots_decision, source_certificates, source_archive, source_crawl_index, source_search, discover_plan, export_grades)
 QUERIES = {name: _scalar(f, pairs) for name, (f, pairs) in SCALARS.items()} | {f"extract_{c}": _legal(c) for c in TEXTS} | {f.__name__: f for f in _OTHER}
 SQL = {name: answer("x y", *pairs) for name, (_, pairs) in SCALARS.items()} | {f"extract_{c}": answer(" ".join(_LEGAL_COLUMNS), tuple(LEGAL[c].get(f) for f in _LEGAL_COLUMNS)) for c in TEXTS} | {
+    "extract_routed": answer("context found", ("german", '{"n":"HRB 12345 B","c":"Berlin"}'), ("austrian", '{"n":"FN 123456a","c":"Wien"}'), ("uk", '{"n":"01234567"}')),
     "jsonld_organisation": answer("name legal_name vat_id email phone street postal_code city country same_as", ("Acme Corporation", "Acme Corp.", "DE123456789", "hello@acme.com", "+49 30 1234567", "Main 1", "10115", "Berlin", "DE", "https://linkedin.com/company/acme")),
     "open_graph": answer("site_name description social", ("Acme", "We make things", '{"twitter":"https://twitter.com/acme"}')),
     "dom_fixture": answer("kind text", ("heading", "Acme"), ("paragraph", "First paragraph of the page"), ("paragraph", "Second paragraph of it"), ("list", "one"), ("list", "two")),
