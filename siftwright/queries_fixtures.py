@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import classify, countries, udfs
+from .functions import classify, countries, legal, udfs
 from .functions import validate as V
 from .operators import dom, merge, structured
 from .sources import readers
@@ -43,6 +43,12 @@ SCALARS = {
     "company_size_form": (lambda c: classify.company_size(c, F.lit("x.de")), [("AG", "enterprise"), ("GmbH", "sme"), ("e.K.", "solo"), ("UG", "solo"), ("Genossenschaft", "enterprise"), ("", "unknown")]),
     "company_size_domain": (lambda c: classify.company_size(F.lit(""), c), [("garden.de", "enterprise"), ("stadt.example.de", "government"), ("siemens.com", "enterprise"), ("muster.de", "unknown")]),
     "rdap_dates": (structured.date, [("2020-05-01T10:00:00Z", "2020-05-01"), ("2021-06-30", "2021-06-30"), ("30.06.2021 noon", "30.06.2021")]),
+    "validate_menu_name": (legal.menu_free_name, [("Home | About", None), ("Beispiel GmbH", "Beispiel GmbH"), ("Shop (0)", None), ("news", None), ("10115 Berlin", None), ("Kontakt - Firma AG", None), ("Nord - Süd GmbH", "Nord - Süd GmbH")]),
+    "validate_strict_person": (legal.strict_person, [("Max Mustermann", "Max Mustermann"), ("Siemens AG", None), ("Hauptstraße 1", None), ("Max", None), ("Dr. Eva von der Muster", "Dr. Eva von der Muster")]),
+    "validate_vat_number": (legal.vat_number, [("DE 123456789", True), ("ATU12345678", True), ("XX1", False), ("CHE123456789", True)]),
+    "saved_street": (legal.saved_street, [("Weg 1", "Weg 1"), ("a\nb 12", ""), ("x@y.de 1", ""), ("", "")]),
+    "saved_person": (legal.saved_person, [("Team", ""), ("Max Mustermann", "Max Mustermann"), ("X", "")]),
+    "primary_block": (legal.primary_block, [("\nAcme GmbH\nWeg 1\nKonzeption und Design\nAgentur X\nTelefon 1\nEnde", "Acme GmbH\nWeg 1\nTelefon 1\nEnde")]),
     "llm_json": (lambda c: F.get_json_object(structured.answer(c), "$.a"), [('x ```json\n{"a": "1"}\n``` y', "1"), ('so {"a": "2"} it is', "2"), ("none", None), ("{broken", None)]),
 }
 
@@ -180,6 +186,46 @@ def discover_plan(spark, d):
     return found.groupBy("domain").agg(F.min_by("source", "ord").alias("source")).groupBy("source").agg(F.count("*").alias("n"))
 
 
+def name_fits_domain(spark, d):
+    t = rows(spark, "name domain", ("Acme GmbH", "www.acme.de"), ("Nice Agentur", "acme.de"), ("Other GmbH", "acme.de"), ("Other", "acme.de"), (None, "acme.de"))
+    return t.select("name", legal.name_fits_domain(F.col("name"), F.col("domain")).alias("fits"))
+
+
+def legal_page_score(spark, d):
+    t = rows(spark, "url title t", ("https://a.de/impressum", "Impressum", TEXTS["german"]), ("https://a.de/", "Shop", "buy now"), ("https://a.co.uk/x", "About", TEXTS["uk"]))
+    return t.select("url", legal.page_score(F.col("url"), F.col("title"), F.col("t")).cast("long").alias("score"))
+
+
+def public_sector(spark, d):
+    t = rows(spark, "form domain t", ("AG", "x.gv.at", ""), ("GmbH", "x.de", "Die Verwaltung"), ("GmbH", "x.de", "Firma"))
+    return t.select("domain", legal.public_sector_form(F.col("form"), F.col("domain"), F.col("t")).alias("form"))
+
+
+def german_address(spark, d):
+    t = rows(spark, "s z c", ("Weg 1", "10115", "Berlin"), ("7", "10115", "Berlin"), ("Anschrift:", "10115", "Berlin"), ("Weg 1", "1011", "Wien"), (None, "10115", "Berlin"))
+    return t.select("s", "z", legal.german_address(F.col("s"), F.col("z"), F.col("c")).alias("ok"))
+
+
+def crawl_status(spark, d):
+    t = rows(spark, "k resolves http n late", (1, True, 200, 9000, False), (2, False, 0, 0, False), (3, True, 503, 0, False), (4, True, 200, 10, False), (5, True, 200, 9000, True))
+    return t.select(F.col("k").cast("long").alias("k"), legal.crawl_status(F.col("resolves"), F.col("http"), F.col("n"), F.col("late")).alias("status"))
+
+
+def persist_gate(spark, d):
+    t = rows(spark, "k status method source", ("a", "SUCCESS", None, None), ("b", "NO_DATA", "whois_fallback", None), ("c", None, None, "rdap"), ("d", "NO_DATA", "whois_fallback_only", "none"))
+    return t.where(legal.worth_saving(F.col("status"), F.col("method"), F.col("source"))).select("k")
+
+
+def saved_names(spark, d):
+    t = rows(spark, "name domain", ("Cookie settings", "acme.de"), ("Acme GmbH", "acme.de"), ("Since 2024", "beta-x.de"), ("A", "gamma.de"))
+    return t.select("domain", legal.saved_name(F.col("name"), F.col("domain")).alias("name"))
+
+
+def notice_urls(spark, d):
+    t = rows(spark, "base links", ("https://a.de", "https://a.de/kontakt https://a.de/shop https://a.de/impressum https://a.de/kontakt"), ("https://b.de", "https://b.de/shop"))
+    return t.select("base", F.array_join(legal.notice_urls(F.col("base"), F.split("links", " ")), " ").alias("urls"))
+
+
 def export_grades(spark, d):
     t = rows(spark, "score", (100.0,), (65.5,), (40.0,), (21.0,), (0.0,))
     return t.select("score", classify.grade(F.col("score")).alias("grade"))
@@ -189,7 +235,7 @@ def _scalar(f, pairs):
     return lambda spark, d: rows(spark, "x", *((a,) for a, _ in pairs)).select("x", f(F.col("x")).alias("y"))
 
 
-_OTHER = (extract_routed, jsonld_organisation, open_graph, dom_fixture, rdap_parse, registry_merge, whois_confidence, legal_accumulate, generic_accumulate, structured_over_section, validate_address, robots_decision, source_certificates, source_archive, source_crawl_index, source_search, discover_plan, export_grades)
+_OTHER = (extract_routed, jsonld_organisation, open_graph, dom_fixture, rdap_parse, registry_merge, whois_confidence, legal_accumulate, generic_accumulate, structured_over_section, validate_address, robots_decision, source_certificates, source_archive, source_crawl_index, source_search, discover_plan, export_grades, name_fits_domain, legal_page_score, public_sector, german_address, crawl_status, persist_gate, saved_names, notice_urls)
 QUERIES = {name: _scalar(f, pairs) for name, (f, pairs) in SCALARS.items()} | {f"extract_{c}": _legal(c) for c in TEXTS} | {f.__name__: f for f in _OTHER}
 SQL = {name: answer("x y", *pairs) for name, (_, pairs) in SCALARS.items()} | {f"extract_{c}": answer(" ".join(_LEGAL_COLUMNS), tuple(LEGAL[c].get(f) for f in _LEGAL_COLUMNS)) for c in TEXTS} | {
     "extract_routed": answer("context found", ("german", '{"n":"HRB 12345 B","c":"Berlin"}'), ("austrian", '{"n":"FN 123456a","c":"Wien"}'), ("uk", '{"n":"01234567"}')),
@@ -209,5 +255,13 @@ SQL = {name: answer("x y", *pairs) for name, (_, pairs) in SCALARS.items()} | {f
     "source_crawl_index": answer("domain source", ("acme.de", "common_crawl")),
     "source_search": answer("domain source", ("acme.de", "search"), ("beta.de", "search")),
     "discover_plan": answer("source n", ("targeted", 10), ("tranco", 10), ("majestic", 5), ("common_crawl", 5), ("search", 9)),
+    "name_fits_domain": answer("name fits", ("Acme GmbH", True), ("Nice Agentur", False), ("Other GmbH", True), ("Other", False), (None, True)),
+    "legal_page_score": answer("url score", ("https://a.de/impressum", 100), ("https://a.de/", 0), ("https://a.co.uk/x", 30)),
+    "public_sector": answer("domain form", ("x.gv.at", ""), ("x.de", ""), ("x.de", "GmbH")),
+    "german_address": answer("s z ok", ("Weg 1", "10115", True), ("7", "10115", False), ("Anschrift:", "10115", False), ("Weg 1", "1011", False), (None, "10115", False)),
+    "crawl_status": answer("k status", (1, None), (2, "PARTIAL_DNS"), (3, "PARTIAL_HTTP"), (4, "PARTIAL_FETCH"), (5, "PARTIAL_TIMEOUT")),
+    "persist_gate": answer("k", ("a",), ("b",), ("c",)),
+    "saved_names": answer("domain name", ("acme.de", "Acme"), ("acme.de", "Acme GmbH"), ("beta-x.de", "Beta-x"), ("gamma.de", "Gamma")),
+    "notice_urls": answer("base urls", ("https://a.de", "https://a.de/impressum https://a.de/kontakt"), ("https://b.de", "https://b.de/impressum https://b.de/impressum.html https://b.de/impressum.php https://b.de/legal https://b.de/legal-notice")),
     "export_grades": answer("score grade", (100.0, "A"), (65.5, "B"), (40.0, "C"), (21.0, "D"), (0.0, "F")),
 }
