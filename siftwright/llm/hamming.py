@@ -79,8 +79,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             near = [F.bit_count(_segment(F.col("query").bitwiseXOR(F.col("code")), F.lit(i), bits)) for i in range(m)]
             least = F.least(*near)
             at = F.coalesce(*(F.when(x == least, F.lit(i)) for i, x in enumerate(near)))
-            found = probes.join(index, ["segment", "value"]).where((least == r) & (F.col("segment") == at)).select("query", "code", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"))
-        found = found.join(codes, "code").select("query", "distance", F.explode("ids").alias("id"))
+            # the planner does not see how far the masks multiply rows, and would broadcast them
+            found = probes.hint("merge").join(index, ["segment", "value"]).where((least == r) & (F.col("segment") == at)).select("query", "code", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"))
+        found = found.hint("merge").join(codes, "code").select("query", "distance", F.explode("ids").alias("id"))
         if math.comb(bits, r) * m > max(n_codes, 1024):
             best = best.join(active, "query", "left_anti")  # compared with everything anew
         best = written(best.unionByName(found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "mih-best")
