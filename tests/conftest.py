@@ -2,6 +2,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -31,9 +32,11 @@ def same():
     """Whether two pandas frames have the same columns and the same rows in any order."""
 
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "null"
-        return f"{v:.9g}" if isinstance(v, float) else str(v)
+        if isinstance(v, bool | str):
+            return str(v)
+        return f"{v:.9g}" if isinstance(v, float) and v != int(v) else str(int(v)) if isinstance(v, float) else str(v)
 
     def check(a, b):
         assert sorted(a.columns) == sorted(b.columns)
