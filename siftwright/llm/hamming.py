@@ -5,7 +5,8 @@ r looks up, for every segment of an unfinished query, the values that differ fro
 it in exactly r bits; candidates are verified by their full Hamming distance. After
 the round every code nearer than m (r + 1) has been seen, so a query is finished
 when its kth distance is below that. A candidate counts where it is first found
-(the lowest round, then segment), so nothing is looked at twice.
+(the lowest round, then segment), so nothing is looked at twice, and only within the
+query's kth distance so far, so that candidates do not grow with both tables.
 
 Equal codes are one entry with the k smallest ids, so copies cost nothing. Where a
 round would probe more values than there are codes, the remaining queries are
@@ -63,7 +64,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     bits = BITS // m
     numbers = F.explode(F.array(*(F.lit(i) for i in range(m))))
     index = codes.select("code", numbers.alias("segment")).withColumn("value", _segment(F.col("code"), F.col("segment"), bits))
-    active = written(queries.select("query").distinct(), "mih-queries")
+    active = written(queries.select("query", F.lit(BITS).alias("bound")).distinct(), "mih-queries")
     best = written(spark.createDataFrame([], "query long, distance int, id long"), "mih-best")
     enough = min(k, n_ids)
     order = Window.partitionBy("query").orderBy("distance", "id")
@@ -74,22 +75,24 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             found = _compare(codes, active, k)
         else:
             masks = [sum(1 << b for b in c) for c in itertools.combinations(range(bits), r)]
-            probes = active.select("query", numbers.alias("segment")).withColumn("mask", F.explode(F.from_json(F.lit(str(masks)), "array<long>")))
-            probes = probes.select("query", "segment", _segment(F.col("query"), F.col("segment"), bits).bitwiseXOR(F.col("mask")).alias("value"))
+            probes = active.select("query", "bound", numbers.alias("segment")).withColumn("mask", F.explode(F.from_json(F.lit(str(masks)), "array<long>")))
+            probes = probes.select("query", "bound", "segment", _segment(F.col("query"), F.col("segment"), bits).bitwiseXOR(F.col("mask")).alias("value"))
             near = [F.bit_count(_segment(F.col("query").bitwiseXOR(F.col("code")), F.lit(i), bits)) for i in range(m)]
             least = F.least(*near)
             at = F.coalesce(*(F.when(x == least, F.lit(i)) for i, x in enumerate(near)))
             # the planner does not see how far the masks multiply rows, and would broadcast them
-            found = probes.hint("merge").join(index, ["segment", "value"]).where((least == r) & (F.col("segment") == at)).select("query", "code", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"))
+            distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
+            found = probes.hint("merge").join(index, ["segment", "value"]).where((least == r) & (F.col("segment") == at) & (distance <= F.col("bound"))).select("query", "code", distance.alias("distance"))
         found = found.hint("merge").join(codes, "code").select("query", "distance", F.explode("ids").alias("id"))
         if math.comb(bits, r) * m > max(n_codes, 1024):
-            best = best.join(active, "query", "left_anti")  # compared with everything anew
+            best = best.join(active.select("query"), "query", "left_anti")  # compared with everything anew
         best = written(best.unionByName(found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "mih-best")
         if math.comb(bits, r) * m > max(n_codes, 1024):
             break
         covered = m * (r + 1) - 1
-        done = best.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("last")).where((F.col("n") >= enough) & (F.col("last") <= covered) | (F.col("n") >= n_ids))
-        active = written(active.join(done, "query", "left_anti"), "mih-queries")
+        state = best.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("last"))
+        active = active.select("query").join(state, "query", "left").where(~F.coalesce((F.col("n") >= enough) & (F.col("last") <= covered), F.lit(False)))
+        active = written(active.select("query", F.when(F.col("n") >= k, F.col("last")).otherwise(BITS).alias("bound")), "mih-queries")
     return queries.join(best.withColumn("rank", F.row_number().over(order)), "query").select("query_id", "rank", "id", "distance")
 
 
