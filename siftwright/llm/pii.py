@@ -13,6 +13,11 @@ repeated until the value is within the domain (cycle walking). Parts that must
 stay (a card's first digit, a country code) are left out of the domain; check
 digits are computed anew.
 
+Card and IBAN patterns run over neighbouring groups. If the whole match isn't valid,
+its shorter starts that end with a group are tried, longest first, then the search goes
+on at its second group. A pseudonym that would make a number valid that was passed
+over on the way is permuted again, so that `restore` meets the same values.
+
 Nulls and edges: a null text stays null, an empty one empty. Values that fail
 validation stay. Rows are treated one by one, so ties and repeats agree; further
 columns pass through.
@@ -51,6 +56,7 @@ PATTERN = re.compile(
 )
 
 
+INSIDE = re.compile(r"(?P<card>[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z]|-[0-9]))")  # a card from a later group on
 HEX = re.compile("(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{8,}")  # digits and letters a to f
 
 
@@ -212,17 +218,43 @@ class Pseudonyms:
     def text(self, text: str) -> tuple[str, Counter]:
         """The text with all valid values replaced, and how many of each kind there were."""
         found: Counter = Counter()
-
-        def new(m: re.Match) -> str:
+        out: list[str] = []
+        failed: list[tuple[str, int, int]] = []  # spans that weren't valid and reach past `at`
+        done: list[tuple[int, int, str]] = []  # values replaced within them
+        at = copied = 0
+        while m := (failed and text[at - 1] == "-" and INSIDE.match(text, at)) or PATTERN.search(text, at):
             kind = m.lastgroup if m.lastgroup != "value" else "secret"
-            old = m["value"] if kind == "secret" else m[0]
-            out = self.cached(kind, old)
-            if out is None:
-                return m[0]
+            start, end = m.span("value" if kind == "secret" else kind)
+            failed = [x for x in failed if x[2] > start]
+            done = done if failed else []
+            groups = [start + g.end() for g in re.finditer("[A-Za-z0-9]+", text[start:end])] if kind in ("card", "iban") else [end]
+            for end in groups[::-1]:
+                if kind == "card" and sum(c.isdigit() for c in text[start:end]) < 13:
+                    continue
+                new = self.cached(kind, text[start:end])
+                if new is not None:
+                    break
+                failed.append((kind, start, end))
+            if new is None:
+                at = groups[0] + 1 if len(groups) > 1 else m.end()
+                continue
+            while any(self._made(text, [*done, (start, end, new)], *x) for x in failed):
+                new = self.cached(kind, new)
             found[kind] += 1
-            return m[0][: len(m[0]) - len(old)] + out if kind == "secret" else out
-
-        return PATTERN.sub(new, text), found
+            out += [text[copied:start], new]
+            done.append((start, end, new))
+            at = copied = end
+        return "".join([*out, text[copied:]]), found
+
+    def _made(self, text: str, done: list[tuple[int, int, str]], kind: str, start: int, end: int) -> bool:
+        """Whether the replacements make the span valid."""
+        now = text[start:end]
+        for s, e, new in done:
+            if s < end and e > start and len(new) == e - s:
+                new = new[max(start - s, 0) : end - s]
+                s = max(s - start, 0)
+                now = now[:s] + new + now[s + len(new) :]
+        return self.cached(kind, now) is not None
 
 
 _SUSPECT = np.zeros(256, bool)

@@ -197,6 +197,22 @@ def test_pii(spark):
     assert back == dict(rows)
 
 
+def test_pii_beside_other_groups():
+    card, names, back = "4111 1111 1111 1111", pii.Pseudonyms("key"), pii.Pseudonyms("key", back=True)
+    cases = [(card, f"{card} 12/26"), (card.replace(" ", ""), "4111111111111111 123"), (card, f"order 12 {card}"), (card, f"12 {card} 123"), ("4111-1111-1111-1111", "12-4111-1111-1111-1111"), (card, f"AB12 {card}"), ("ES9121000418450200051332", "ES9121000418450200051332 EUR"), ("AT611904300234573201", "AT611904300234573201 BIC"), ("19@mail5.example.com", "1234-5678-9012-3456, 19@mail5.example.com"), ("DE89 3704 0044 0532 0130 00", "XX12 DE89 3704 0044 0532 0130 00 EUR")]
+    for value, text in cases:
+        new, found = names.text(text)
+        assert value not in new and len(new) == len(text) and sum(found.values()) == 1, text
+        assert back.text(new) == (text, found)
+    rng = random.Random(3)
+    for _ in range(300):
+        digits = "".join(rng.choice("0123456789") for _ in range(15))
+        digits += next(c for c in "0123456789" if pii.luhn(digits + c))
+        text = f"{rng.randrange(100)} {digits} {rng.randrange(1000):03d} and {digits[:4]} {digits[4:8]} {digits[8:12]} {digits[12:]} {rng.randrange(100):02d}/{rng.randrange(100)}"
+        new, found = names.text(text)
+        assert found["card"] == 2 and back.text(new)[0] == text, text
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
