@@ -157,6 +157,23 @@ def test_chaining_is_optimal_under_its_cost():
     assert passages.chains(x, y)[0] == [0, 1, 2, 4]
 
 
+@pytest.mark.parametrize("apart", [35, 60, 400])
+def test_passage_after_a_long_one(spark, prose, apart):
+    import random
+
+    rng = random.Random(apart)
+    one, two = prose(rng, 400), prose(rng, 90).split(" ")
+    changed = [w if k % 30 != 29 else "x" for k, w in enumerate(two)]
+    rows = [(1, f"{one} {prose(rng, apart)} {' '.join(two)} {prose(rng, 20)}"), (2, f"{prose(rng, 10)} {one} {prose(rng, apart)} {' '.join(changed)}")]
+    got = {r.doc_id: r for r in passages.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r.n_repeated >= 485 for r in got.values())
+
+
+def test_chains_reach_past_a_better_scored_end():
+    x = [*range(0, 400, 5), *range(460, 550, 6)]
+    assert [len(c) for c in passages.chains(x, x)] == [80, 15]
+
+
 def test_empty_tables(none):
     assert near_dup.cluster(none).count() == near_dup.deduplicate(none).count() == 0
     assert suffixes.remove_repeats(none).count() == passages.deduplicate(none).count() == 0
