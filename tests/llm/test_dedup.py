@@ -174,6 +174,19 @@ def test_chains_reach_past_a_better_scored_end():
     assert [len(c) for c in passages.chains(x, x)] == [80, 15]
 
 
+def test_passage_of_lines_with_other_leaders(spark, prose):
+    import random
+
+    rng = random.Random(21)
+    rows = []
+    for g in range(0, 400, 4):
+        one, two = prose(rng, 40), prose(rng, 40)
+        rows += [(g, f"{prose(rng, 30)} {one} {prose(rng, 30)}"), (g + 1, f"{prose(rng, 30)} {two} {prose(rng, 30)}")]
+        rows += [(g + k, f"{prose(rng, 30)} {one} {two} {prose(rng, 30)}") for k in (2, 3)]
+    got = {r.doc_id: r.n_repeated for r in passages.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(80 <= n <= 84 if i % 4 > 1 else n == 0 for i, n in got.items())
+
+
 def test_empty_tables(none):
     assert near_dup.cluster(none).count() == near_dup.deduplicate(none).count() == 0
     assert suffixes.remove_repeats(none).count() == passages.deduplicate(none).count() == 0
