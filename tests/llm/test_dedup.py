@@ -187,6 +187,20 @@ def test_passage_of_lines_with_other_leaders(spark, prose):
     assert all(80 <= n <= 84 if i % 4 > 1 else n == 0 for i, n in got.items())
 
 
+def test_all_places_in_the_leader(spark, prose):
+    import random
+
+    rng = random.Random(22)
+    p, inner = prose(rng, 80), prose(rng, 80)
+    parts = [x for _ in range(20) for x in (prose(rng, 70), p)] + [inner, prose(rng, 70), inner]
+    rows = [(1, " ".join(parts)), (2, f"{prose(rng, 60)} {p} {prose(rng, 60)}"), (3, f"{prose(rng, 60)} {p} {prose(rng, 60)} {p}")]
+    got = {r.doc_id: r for r in passages.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    have = {n for s in got[1].spans for n in range(s.s, s.e)}
+    need = {150 * k + 70 + n for k in range(20) for n in range(80)}
+    assert need <= have and len(have - need) <= 40  # not the part that only this document repeats
+    assert got[2].n_repeated >= 80 and got[3].n_repeated >= 160 and got[1].n_links == 2 and got[1].leaders == []
+
+
 def test_empty_tables(none):
     assert near_dup.cluster(none).count() == near_dup.deduplicate(none).count() == 0
     assert suffixes.remove_repeats(none).count() == passages.deduplicate(none).count() == 0
