@@ -53,6 +53,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
+def fresh(taken, *names: str) -> list[str]:
+    """The names, lengthened until no column of `taken` has them (case aside)."""
+    held, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def doc_hash_mod(column: str, n: int):
     """crc32 of the id as text, modulo n: the fold of a document."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

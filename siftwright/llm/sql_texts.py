@@ -16,18 +16,38 @@ FROM documents d LEFT JOIN found USING (doc_id) GROUP BY d.doc_id
 OP8 = """
 WITH RECURSIVE
   counted AS (SELECT coalesce(source, '') AS s, count(*) AS c FROM documents GROUP BY ALL),
-  share AS (SELECT s, CAST(greatest(1, floor(greatest(400, (SELECT count(*) FROM counted)) * sqrt(c) / (SELECT sum(sqrt(c)) FROM counted) + 0.5)) AS BIGINT) AS n, row_number() OVER (ORDER BY s) AS i FROM counted),
-  size AS (SELECT CAST(sum(n) AS BIGINT) AS l, list(n ORDER BY i) AS ns, list(s ORDER BY i) AS ss FROM share),
-  edf(slot, taken, pick) AS (
-    SELECT CAST(-1 AS BIGINT), list_transform(ns, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM size
+  raw AS (SELECT s, CAST(floor(sqrt(c * 1000000.0)) AS BIGINT) AS w, (c + 9) // 10 AS quanta, row_number() OVER (ORDER BY s) AS i FROM counted),
+  shared AS (SELECT CAST(list_reduce(list(w), lambda a, b: gcd(a, b)) AS BIGINT) AS g FROM raw),
+  weight AS (SELECT s, i, quanta, w // g AS w FROM raw, shared),
+  total AS (SELECT CAST(sum(w) AS BIGINT) AS w, count(*) AS n FROM weight),
+  frames AS (SELECT CAST((max((quanta + 2) * t.w // r.w + 1) + 511) // 512 AS BIGINT) AS n FROM weight r, total t),
+  huffman(step, nodes, made) AS (
+    SELECT 0, (SELECT list_sort(list({'w': w, 'i': i, 'own': [i]})) FROM weight), CAST(NULL AS STRUCT(l BIGINT[], r BIGINT[], wl BIGINT, wn BIGINT))
     UNION ALL
-    SELECT slot + 1, list_transform(taken, lambda k, i: CASE WHEN i = p THEN k + 1 ELSE k END), p
-    FROM (SELECT slot, taken, list_min(list_filter(list_transform(taken, lambda k, i: CASE WHEN k < ns[i] AND (k * l) // ns[i] <= slot + 1 THEN {'d': ((k + 1) * l + ns[i] - 1) // ns[i], 'i': i} END), lambda x: x IS NOT NULL)).i AS p FROM edf, size WHERE slot + 1 < l)
+    SELECT step + 1, list_sort(list_append(nodes[3:], {'w': nodes[1].w + nodes[2].w, 'i': least(nodes[1].i, nodes[2].i), 'own': list_concat(nodes[1].own, nodes[2].own)})),
+      {'l': nodes[1].own, 'r': nodes[2].own, 'wl': nodes[1].w, 'wn': nodes[1].w + nodes[2].w}
+    FROM huffman WHERE len(nodes) > 1
   ),
-  plan AS (SELECT ss[e.pick] AS s, e.taken[e.pick] - 1 AS k, slot FROM edf e, size WHERE slot >= 0),
+  level AS (SELECT i, list_contains(made.l, i) AS at_left, made.wl AS wl, made.wn AS wn, row_number() OVER (PARTITION BY i ORDER BY step DESC) AS depth
+            FROM huffman, weight WHERE made IS NOT NULL AND (list_contains(made.l, i) OR list_contains(made.r, i))),
+  down(i, f, depth, n) AS (
+    SELECT i, f, CAST(0 AS BIGINT), f * 512 FROM weight, (SELECT unnest(range(0, n + 1)) AS f FROM frames)
+    UNION ALL
+    SELECT i, f, v.depth, CASE WHEN at_left THEN (n // wn) * wl + (2 * (n % wn) * wl + wn) // (2 * wn) ELSE n - (n // wn) * wl - (2 * (n % wn) * wl + wn) // (2 * wn) END
+    FROM down JOIN level v USING (i) WHERE v.depth = down.depth + 1
+  ),
+  had AS (SELECT i, f, n FROM down QUALIFY row_number() OVER (PARTITION BY i, f ORDER BY depth DESC) = 1),
+  frame AS (SELECT a.f, list(a.n ORDER BY a.i) AS past, list(b.n - a.n ORDER BY a.i) AS cs FROM had a JOIN had b ON b.i = a.i AND b.f = a.f + 1 GROUP BY a.f),
+  edf(f, slot, taken, pick) AS (
+    SELECT f, CAST(-1 AS BIGINT), list_transform(cs, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM frame
+    UNION ALL
+    SELECT f, slot + 1, list_transform(taken, lambda k, i: CASE WHEN i = p THEN k + 1 ELSE k END), p
+    FROM (SELECT f, slot, taken, list_min(list_filter(list_transform(taken, lambda k, i: CASE WHEN k < cs[i] AND (k * 512) // cs[i] <= slot + 1 THEN {'d': ((k + 1) * 512 + cs[i] - 1) // cs[i], 'i': i} END), lambda x: x IS NOT NULL)).i AS p FROM edf JOIN frame USING (f) WHERE slot + 1 < 512)
+  ),
+  plan AS (SELECT e.pick AS i, past[e.pick] + e.taken[e.pick] - 1 AS k, e.f * 512 + slot AS slot FROM edf e JOIN frame USING (f) WHERE slot >= 0),
   ranked AS (SELECT doc_id, coalesce(source, '') AS s, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS mix_rank FROM documents)
-SELECT r.doc_id, r.s AS source, r.mix_rank, ((r.mix_rank // 32) // n) * l + slot AS mix_slot, r.mix_rank % 32 AS mix_within
-FROM ranked r JOIN share USING (s) CROSS JOIN size JOIN plan p ON p.s = r.s AND p.k = (r.mix_rank // 32) % n
+SELECT r.doc_id, r.s AS source, r.mix_rank, p.slot AS mix_slot, r.mix_rank % 10 AS mix_within
+FROM ranked r JOIN weight USING (s) JOIN plan p ON p.i = weight.i AND p.k = r.mix_rank // 10
 """
 
 OP9 = """

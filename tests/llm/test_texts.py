@@ -142,22 +142,38 @@ def test_toxicity_without_labels(spark, docs):
     assert all(r.score < 1e-9 for r in scores.collect())
 
 
-def test_schedule_keeps_pfair_bounds():
-    for shares in ({"a": 1}, {"a": 1, "b": 1, "c": 1}, {"a": 5, "b": 1, "c": 1, "d": 1, "e": 1, "f": 1}, {"a": 97, "b": 2, "c": 13}, {str(i): i + 1 for i in range(20)}):
-        total, run = sum(shares.values()), Counter()
-        plan = mixing.schedule(shares)
-        assert len(plan) == total
-        for s, k, t in plan:
-            assert k == run[s]
-            run[s] += 1
-            assert all(abs(run[x] - shares[x] * (t + 1) / total) < 1 for x in shares)
+WEIGHTS = [{"a": 1}, {"a": 0.999, "b": 0.001}, {"a": 1, "b": 1, "c": 1}, {str(i): 1 + i**3 for i in range(20)}, {str(i): 2.0**-i for i in range(12)}]
+
+
+@pytest.mark.parametrize("weights", WEIGHTS)
+def test_schedule_stays_near_the_exact_weights(spark, weights):
+    """Over many frames, no source strays by three quanta (one block) from its target weight."""
+    whole = mixing.exact(weights)
+    total, slots = sum(whole.values()), 3000
+    plan = mixing.schedule(spark, whole, {s: slots * w // total + 4 for s, w in whole.items()}, frame=64).orderBy("slot").collect()
+    run = Counter()
+    for r in plan:
+        assert r.quantum == run[r.source]
+        run[r.source] += 1
+        assert r.slot >= slots or all(abs(run[s] - w * (r.slot + 1) / total) < 3 for s, w in whole.items())
+    assert len({r.slot for r in plan}) == len(plan) and [r.slot for r in plan[:slots]] == list(range(slots))
+
+
+def test_exact_weights():
+    assert mixing.exact({"a": 0.999, "b": 0.001}) == {"a": 999, "b": 1} and mixing.exact({"a": 6, "b": 4}) == {"a": 3, "b": 2}
+    large = mixing.exact({"a": 10**15 + 1, "b": 1, "c": 10**15})
+    assert sum(large.values()) <= mixing.MOST_WEIGHT and large["b"] == 1
 
 
 def test_mix_places_every_row_once(spark):
     rows = [(i, "big" if i % 3 else f"s{i % 5}", f"t{i}") for i in range(3000)] + [(None, None, "n"), (None, None, "n"), (1, "big", "again"), (1, "big", "again"), (2, "", "e")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("mix_slot", F.lit("clash"))
+    for name in ("_n", "n", "_place", "_k", "_turn", "quantum", "slot", "source_", "order_", "turns_", "before_"):
+        docs = docs.withColumn(name, F.lit("mine"))
     got = mixing.mix(docs, {"big": 0.5, "s0": 0.3, "s1": 0.2}, block=8)
+    assert got.columns == [c for c in docs.columns if c != "mix_slot"] + ["mix_rank", "mix_slot", "mix_within"]
     out = got.collect()
+    assert all(r.turns_ == r._n == r.slot == "mine" for r in out)
     assert Counter((r.doc_id, r.source, r.text) for r in out) == Counter(rows)
     assert len({(r.mix_slot, r.mix_within) for r in out}) == len(rows)
     slots = sorted({(r.mix_slot, r.source) for r in out if r.source in ("big", "s0")})
