@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C55)  # odd, so it has an inverse modulo 2**64
 INVERSE = U64(pow(int(BASE), -1, 2**64))
-PIECE = 1 << 21  # bytes of text that are hashed at once, unless one text is longer
+PIECE = 1 << 18  # bytes of text that are hashed at once; longer texts are hashed piece by piece
+FEW = 1_000_000  # ids of 8 bytes that are broadcast to thin a table before a join
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -27,14 +28,20 @@ LOWER[65:91] += 32
 
 # ---------------------------------------------------------------- tables
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one in /tmp only where none is set (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; one in /tmp only for a master in one process (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file:///tmp/checkpoints/siftwright"
-        spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def thinned(rows: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
+    """rows without those that a join with keys (a table) would drop, where few keys make that cheap; all rows otherwise."""
+    return rows.join(F.broadcast(keys), on, "left_semi") if keys.count() <= FEW else rows
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows of df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -128,6 +135,26 @@ def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, np.
         i = j
 
 
+def long_hash(buf: np.ndarray) -> np.uint64:
+    """The span hash of one string of any length, by pieces."""
+    out, turn = 0, 1
+    for i in range(0, len(buf), PIECE):
+        out += int(prefix_hashes(buf[i : i + PIECE])[-1]) * turn
+        turn = turn * pow(int(BASE), PIECE, 2**64) % 2**64
+    return U64(out % 2**64)
+
+
+def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each of these spans, which follow each other, by pieces of about PIECE bytes."""
+    out, i = np.zeros(len(start), U64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + PIECE, "right")))
+        part = buf[start[i] : end[j - 1]]
+        out[i:j] = span_hashes(prefix_hashes(part), start[i:j] - start[i], end[i:j] - start[i]) if len(part) <= PIECE else long_hash(part)
+        i = j
+    return out
+
+
 def words(buf: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words between ASCII white space: start, end, hash of each, and the index of each text's first word (one more entry than texts)."""
     if lower:
@@ -138,7 +165,7 @@ def words(buf: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndar
     edge[off] = True
     start = np.flatnonzero(black[1:-1] & (~black[:-2] | edge[:-1]))
     end = np.flatnonzero(black[1:-1] & (~black[2:] | edge[1:])) + 1
-    h = mix(span_hashes(prefix_hashes(buf), start, end) + U64(1))
+    h = mix(hashes(buf, start, end) + U64(1))
     return start, end, h, np.searchsorted(start, off)
 
 

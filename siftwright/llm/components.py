@@ -2,8 +2,9 @@
 
 Each round rewrites the links so that every document points at the smallest
 document it knows of; the number of rounds grows with the logarithm of the
-longest path. Links stay in tables; only their count and a checksum reach the
-driver. Minima are written before they are joined, so that both sides of a join are
+longest path. The rounds end when all links are stars: each document points at one
+that points at none. Links stay in tables; the driver only learns whether any isn't
+settled. Minima are written before they are joined, so that both sides of a join are
 plain exchanges and a document with very many links can be split.
 """
 
@@ -18,16 +19,14 @@ from .common import written
 def components(links: DataFrame, label: str = "components", rounds: int = 60) -> DataFrame:
     """(node, root) for each document of links (a, b) that isn't the smallest of its component.
 
-    Nulls and links of a document to itself are ignored; an empty table gives an empty one.
+    Nulls, links of a document to itself and repeats of a link are ignored; an empty table gives an empty one.
     """
     a, b = F.col("a").cast("long"), F.col("b").cast("long")
     now = written(links.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).where("v <> m").distinct(), label)
-    before = None
     for _ in range(rounds):
-        state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "m"))).first())
-        if state == before or not state[0]:
+        ends = now.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.lit(1).alias("low")), F.struct(F.col("m").alias("u"), F.lit(0).alias("low")))).alias("e"))
+        if ends.groupBy("e.u").agg(F.sum("e.low").alias("n"), F.min("e.low").alias("least")).where("n > 1 or n = 1 and least = 0").isEmpty():
             break
-        before = state
         both = now.select(F.col("v").alias("u"), F.col("m").alias("w")).unionByName(now.select(F.col("m").alias("u"), F.col("v").alias("w")))
         low = written(both.groupBy("u").agg(F.min("w").alias("m")), label)
         large = both.join(low, "u").where("w > u").select(F.col("w").alias("v"), F.least("m", "u").alias("m")).distinct()

@@ -9,11 +9,12 @@ of 0.8 the similarity is at least 0.19, and a miss has a chance of 1.4e-6.
 Candidates are verified by exact containment of the item's shingle set in the
 whole document's.
 
-Items are broadcast in passes of at most PASS_SHINGLES shingles (some 40 MB with
-their samples), so a benchmark of any size is searched in bounded memory.
+Items are broadcast in passes of about PASS_SHINGLES shingles (some 40 MB with their
+samples). The rows found so far are written between passes, so that tasks hold the items
+of one pass: a benchmark of any size is searched in bounded memory.
 
 Nulls and edges: an item or document without words matches nothing; 1 to k - 1
-words are one shingle. Items with a null id are left out; items that share an id
+words are one shingle. An empty benchmark or table matches nothing. Items with a null id are left out; items that share an id
 count as one if any of them is found. Documents are judged row by row; further
 columns pass through.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import U64, distinct, lists, pieces, shingles, words
+from .common import U64, distinct, fresh, lists, pieces, shingles, words, written
 
 SAMPLES = 64
 PASS_SHINGLES = 500_000
@@ -123,7 +124,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80
     for k_pass in range(passes):
         part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k_pass).orderBy("item_id", "text").toArrow()
         items = prepare(part.column("item_id").to_numpy(), part.column("text").combine_chunks(), k)
-        docs = _one_pass(docs, spark.sparkContext.broadcast(items), k, percent, schema, first=k_pass == 0)
+        shared = spark.sparkContext.broadcast(items)
+        docs = _one_pass(docs, shared, k, percent, schema, first=k_pass == 0)
+        if k_pass + 1 < passes:
+            docs = written(docs, "decontaminate-pass")
+            shared.unpersist()
     return docs
 
 
@@ -146,4 +151,5 @@ def _one_pass(docs, shared, k, percent, schema, first):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents that contain no item of the benchmark; columns as in docs."""
-    return matches(docs, benchmark, k, percent, "_items", "_containment").where(F.size("_items") == 0).drop("_items", "_containment")
+    items, best = fresh(docs.columns, "items_", "containment_")
+    return matches(docs, benchmark, k, percent, items, best).where(F.size(items) == 0).drop(items, best)

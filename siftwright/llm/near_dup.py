@@ -3,24 +3,28 @@
 1. One pass over the texts gives each document the size and a 128-bit fingerprint
    of its shingle set and the keys of BANDS bands of ROWS MinHash values. Documents
    with equal sets form a class, for which its smallest document stands.
-2. Documents that share a band key are joined to the smallest of that bucket; the
-   components of these unconfirmed links are candidate groups. No pairs are made.
-3. A group comes together in blocks of bounded size, a large one as pairs of blocks.
-   Within it, each document's MinHash sample is folded into an odd sketch (a bitmap
+2. Each document of a bucket (a band key) meets the smallest of it, its leader, in
+   tasks of at most STAR_DOCS documents of one leader. That settles copies of any
+   number without pairs among them.
+3. Buckets whose documents are now in one component are done. The documents of others
+   meet in blocks of bounded size, a large bucket as pairs of blocks; only pairs of
+   different components are looked at.
+4. Within a task, each document's MinHash sample is folded into an odd sketch (a bitmap
    of parities); the population count of the XOR of two sketches estimates their
-   similarity and rejects pairs far below the threshold. Remaining pairs, likeliest
-   first, are confirmed on the full sets unless they are in one component already.
-4. The components of the confirmed links are the result: one row per document.
+   similarity and rejects pairs far below the threshold. The other pairs of one
+   distance in the task, likeliest first, are confirmed on the full sets unless links
+   made before join them, so no list of pairs is longer than the task's rows.
+5. The components of the confirmed links are the result: one row per document.
 
-Joins with the corpus are merge joins at every size, so that small and large runs move the
-same share of the input.
+Texts are thinned to those of documents in buckets before they are joined, where few are.
 
 A pair at the threshold shares no band with a chance of about 2e-6.
 
 Nulls and edges: a null or empty text, or one without words, has no shingles and
 is linked with nothing; 1 to k - 1 words are one shingle. Rows that repeat a doc_id
-are one document. A row with a null doc_id is linked with nothing and kept. Extra
-columns are ignored by `cluster` and kept by `deduplicate`.
+are one document: `cluster` returns each, `deduplicate` one of them. A row with a null
+doc_id is linked with nothing and kept. Extra columns are ignored by `cluster` and kept
+by `deduplicate`. A long text takes some ten times its size while it is hashed.
 """
 
 from __future__ import annotations
@@ -32,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, distinct, lists, mix, pieces, shingles, words, written
+from .common import U64, distinct, fresh, lists, mix, pieces, shingles, thinned, words, written
 from .components import components
 
 BANDS, ROWS, SKETCH_BITS = 28, 6, 512
 SAMPLES = BANDS * ROWS
-BLOCK_DOCS, BLOCK_SHINGLES = 1500, 1_500_000
+BLOCK_DOCS, BLOCK_SHINGLES, STAR_DOCS = 1000, 1_000_000, 500
 _rng = np.random.default_rng(20240229)
 FACTOR = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) * U64(2) + U64(1)
 SHIFT = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)
@@ -113,21 +117,8 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>")
 
 
-class Forest:
-    """Union of rows of one block; the smaller document leads."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-
-def confirm(ids: np.ndarray, task: np.ndarray, side: np.ndarray, text: pa.Array, k: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Confirmed links (document, leader) within each task; rows are sorted by task. side: -1, or which of two blocks (then only pairs across count)."""
+def confirm(ids: np.ndarray, task: np.ndarray, side: np.ndarray, root: np.ndarray, text: pa.Array, k: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Confirmed links between documents of one task and of different roots; rows are sorted by task. side: -1, or which of two parts (then only pairs across count)."""
     n = len(ids)
     sets: list[np.ndarray] = []
     sketch = np.zeros((n, SKETCH_BITS // 64), U64)
@@ -137,39 +128,35 @@ def confirm(ids: np.ndarray, task: np.ndarray, side: np.ndarray, text: pa.Array,
     size = np.array([len(s) for s in sets])
     start = np.flatnonzero(np.r_[True, task[1:] != task[:-1]])
     last = np.repeat(np.r_[start[1:], n], np.diff(np.r_[start, n]))
+    group = np.unique(root, return_inverse=True)[1]
     limit = most_bits(percent / 100)
-    found = []
+    links = []
     row, gap = np.arange(n), 1
     while len(row := row[row + gap < last[row]]):
         a, b = row, row + gap
         low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-        ok = (100 * low >= percent * high) & ((side[a] < 0) | (side[a] != side[b]))
+        ok = (100 * low >= percent * high) & ((side[a] < 0) | (side[a] != side[b])) & (group[a] != group[b])
         a, b = a[ok], b[ok]
         bits = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64)
-        ok = bits <= limit
-        found.append(np.stack([bits[ok], a[ok], b[ok]]))
-        gap += 1
-    forest = Forest(n)
-    if found:
-        found = np.concatenate(found, 1)
-        for _, a, b in found[:, np.argsort(found[0], kind="stable")].T.tolist():
-            x, y = forest.find(a), forest.find(b)
-            if x == y:
+        near = np.flatnonzero(bits <= limit)
+        for p in near[np.argsort(bits[near], kind="stable")].tolist():
+            x, y = a[p], b[p]
+            if group[x] == group[y]:
                 continue
-            both = np.concatenate([sets[a], sets[b]])
+            both = np.concatenate([sets[x], sets[y]])
             both.sort()
             common = int((both[1:] == both[:-1]).sum())
             if 100 * common >= percent * (len(both) - common):
-                x, y = (x, y) if ids[x] <= ids[y] else (y, x)
-                forest.up[y] = x
-    lead = np.array([forest.find(x) for x in range(n)], np.int64)
-    linked = np.flatnonzero(ids[lead] != ids)
-    return ids[linked], ids[lead[linked]]
+                links.append((ids[x], ids[y]))
+                group[group == group[y]] = group[x]
+        gap += 1
+    found = np.array(links, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
 
 
 def confirmed(blocks: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): links between documents of blocks (task, side, doc_id, text)."""
-    most_rows, most_bytes = 4000, 1 << 23
+    """(a, b): links between documents of blocks (task, side, doc_id, root, text)."""
+    most_rows, most_bytes = 2000, 1 << 22
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -178,12 +165,12 @@ def confirmed(blocks: DataFrame, k: int, percent: int) -> DataFrame:
         def done(table: pa.Table):
             table = table.combine_chunks()
             col = lambda c: table.column(c).to_numpy()
-            a, b = confirm(col("doc_id"), col("task"), col("side"), table.column("text"), k, percent)
+            a, b = confirm(col("doc_id"), col("task"), col("side"), col("root"), table.column("text"), k, percent)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 held.append(part)
                 rows, size = rows + part.num_rows, size + part.nbytes
                 if rows < most_rows and size < most_bytes:
@@ -198,37 +185,65 @@ def confirmed(blocks: DataFrame, k: int, percent: int) -> DataFrame:
         if held:
             yield done(pa.Table.from_batches(held))
 
-    return blocks.repartition("task").sortWithinPartitions("task").select("task", "side", "doc_id", "text").mapInArrow(run, "a long, b long")
+    return blocks.repartition("task").sortWithinPartitions("task").select("task", "side", "doc_id", "root", "text").mapInArrow(run, "a long, b long")
+
+
+def dealt(members: DataFrame, key: str, docs: int) -> DataFrame:
+    """members (key, doc_id, n_shingles, ...) with a block number below `blocks`, so that a block has about `docs` documents and BLOCK_SHINGLES shingles at most."""
+    sizes = members.groupBy(key).agg(F.ceil(F.greatest(F.count("*") / docs, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    return members.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
 
 
 def cluster(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (smallest document with the same set), component_id, kept."""
+    """One row per row of docs: doc_id, n_shingles, class_id (smallest document with the same set), component_id, kept."""
     signed = written(signatures(docs, k), "near-signatures")
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("class_id"), F.first("keys").alias("keys"))
     classes = written(classes, "near-classes")
-    keyed = classes.select("class_id", F.explode("keys").alias("key"))
-    leaders = keyed.groupBy("key").agg(F.min("class_id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
+    keyed = classes.select(F.col("class_id").alias("doc_id"), "n_shingles", F.explode("keys").alias("key"))
+    leaders = keyed.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
     leaders = written(leaders, "near-leaders")  # a plain exchange, so that a large bucket can be split in the join
-    stars = keyed.join(leaders.hint("merge"), "key").where("class_id <> leader").select(F.col("class_id").alias("a"), F.col("leader").alias("b"))
-    groups = components(stars, "near-candidates")
-    members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    members = written(members.join(classes.select(F.col("class_id").alias("node"), "n_shingles"), "node"), "near-members")
-    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    # a group in one block is one task; of n blocks, each pair of blocks is one
-    dealt = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.col("node").alias("doc_id"),
-        F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
+    shared = written(keyed.join(leaders.hint("merge"), "key"), "near-buckets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    texts = thinned(texts, written(shared.select("doc_id").distinct(), "near-members"), "doc_id")
+
+    def settled(tasks: DataFrame, label: str) -> DataFrame:
+        return written(confirmed(texts.join(tasks.hint("merge"), "doc_id"), k, percent), label)
+
+    stars = dealt(shared.where("doc_id <> leader").select("leader", "doc_id", "n_shingles").distinct(), "leader", STAR_DOCS)
+    stars = written(stars.select("doc_id", "leader", F.xxhash64("leader", "block").alias("task")), "near-stars")
+    heads = stars.select(F.col("leader").alias("doc_id"), "task").distinct()
+    side = lambda n: F.lit(n).alias("side")
+    first = settled(stars.select("doc_id", "task", side(1), F.col("doc_id").alias("root")).unionByName(heads.select("doc_id", "task", side(0), F.col("doc_id").alias("root"))), "near-links")
+    roots = written(components(first, "near-parts"), "near-roots").withColumnRenamed("node", "doc_id")
+    placed = written(shared.join(roots.hint("merge"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "near-placed")
+    # buckets of several components; of those with the same documents, one
+    members = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("f"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("g"))
+    open_ = written(members.where("low < high").groupBy("n", "f", "g").agg(F.min("key").alias("key")).select("key"), "near-open")
+    blocks = dealt(placed.join(open_.hint("merge"), "key"), "key", BLOCK_DOCS)
+    # a bucket in one block is one task; of n blocks, each pair of blocks is one
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "doc_id",
+        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
         F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"),
+        "root",
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    links = written(confirmed(texts.join(dealt.hint("merge"), "doc_id"), k, percent), "near-links")
-    roots = components(links, "near-components").withColumnRenamed("node", "class_id")
+    second = settled(blocks, "near-more-links")
+    roots = components(first.unionByName(second), "near-components").withColumnRenamed("node", "class_id")
     out = signed.join(classes.drop("keys").hint("merge"), ["n_shingles", "f1", "f2"], "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id"))).join(roots, "class_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("root", "class_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
-    """The documents of which each near-duplicate group keeps its smallest; columns as in docs."""
-    dropped = cluster(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    """The documents of which each near-duplicate group keeps its smallest, once each; columns as in docs."""
+    found = written(cluster(docs, k, percent).select("doc_id", "kept"), "near-kept").where("doc_id is not null")
+    again = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept"))
+    dropped, again = again.where("not kept").select("doc_id"), written(again.where("kept and n > 1").select("doc_id"), "near-repeated")
+    gone = fresh(docs.columns, "dropped_")[0]
+    left = docs.join(dropped.select(F.col("doc_id").alias(gone)), docs["doc_id"] == F.col(gone), "left_anti")
+    if again.isEmpty():
+        return left
+    # of rows that repeat an id one stays, whose text's hash is least
+    mark, row = fresh(docs.columns, "again_", "row_")
+    left = left.join(again.select(F.col("doc_id").alias(mark)), left["doc_id"] == F.col(mark), "left")
+    one = left.where(F.col(mark).isNotNull()).groupBy(mark).agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias(row))
+    return left.where(F.col(mark).isNull()).drop(mark).unionByName(one.select(f"{row}.*"))

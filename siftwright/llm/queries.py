@@ -11,6 +11,9 @@ from . import sql_near_dup, sql_pages, sql_texts, sql_vectors
 from .common import doc_hash_mod, read_table
 
 
+EXAMPLE_KEY = "example-key-for-synthetic-tables"  # of these queries; anyone who reads it can undo their pseudonyms
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -82,7 +85,7 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
-    done = pii.pseudonymise(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    done = pii.pseudonymise(read_table(spark, sf_dir, "documents", "doc_id", "text"), spark.conf.get(pii.KEY_CONF, EXAMPLE_KEY))
     n = {k: F.coalesce(F.try_element_at("pii", F.lit(k)), F.lit(0)).cast("long") for k in pii.KINDS}
     return done.select("doc_id", "text", *(v.alias(f"n_{k}") for k, v in n.items()))
 
