@@ -1,9 +1,11 @@
 """op1, op3, op4, op6, op7, op8, op10 and the pipeline: round trips, brute force, held-out accuracy, odd rows."""
 
 import gzip
+import math
 import random
+import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -139,6 +141,52 @@ def test_toxicity_on_held_out(spark, prose):
     assert got[5000] == got[5001] < 0.5
 
 
+def plain_kneser_ney(rows, labels):
+    """The ratios of words and the evidence of texts by dictionaries."""
+    split = lambda t: re.findall("[0-9A-Za-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    follows = [defaultdict(set), defaultdict(set)]
+    for i, t in rows:
+        if i in labels and zlib.crc32(str(i).encode()) % 5 and zlib.crc32(str(i).encode()) // 5 % toxicity.CALIBRATION_FOLDS:
+            for u, w in zip([None, *split(t)], split(t), strict=False):
+                follows[labels[i]][w].add(u)
+    vocabulary = set(follows[0]) | set(follows[1])
+    both = {w: len(follows[0].get(w, set()) | follows[1].get(w, set())) for w in vocabulary}
+    total = sum(both.values()) + toxicity.ALPHA * (len(vocabulary) + 1)
+    p = []
+    for f in follows:
+        n = sum(map(len, f.values()))
+        p.append({w: max(len(f.get(w, ())) - toxicity.DISCOUNT, 0) / n + toxicity.DISCOUNT * len(f) / n * (both[w] + toxicity.ALPHA) / total for w in vocabulary})
+    ratio = {w: math.log(p[1][w] / p[0][w]) for w in follows[1]}
+    out = {}
+    for i, t in rows:
+        w = split(t)
+        top = sorted((max(ratio[x], 0) for x in set(w) if x in ratio), reverse=True)[:2] + [0, 0]
+        out[i] = (sum(ratio.get(x, 0) for x in w) / len(w) if w else 0, (top[0] + top[1]) / 2, top[0])
+    return ratio, out
+
+
+@pytest.mark.parametrize("most", [4_000_000, 200])
+def test_toxicity_against_dictionaries(spark, prose, most, monkeypatch):
+    monkeypatch.setattr(toxicity, "PASS_WORDS", most)
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randint(0, 60)) + rng.choice(["", ", Dolt! dolt", " mud-head é"])) for i in range(300)]
+    labels = {i: int(rng.random() < 0.3) for i in range(0, 300, 2)}
+    docs = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string").withColumn("found_", F.lit("mine"))
+    model = toxicity.train(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    ratio, want = plain_kneser_ney([*rows, (900, None), (901, "")], labels)
+    assert np.allclose(sorted(r.ratio for r in model.ratios.collect()), sorted(ratio.values()), rtol=0, atol=1e-9)
+    got = {r.doc_id: r for r in toxicity.score_documents(docs, model).collect()}
+    assert got[1].found_ == "mine" and len(got) == 302
+    for i, x in want.items():
+        z = np.dot(model.weights, [*x, 1])
+        assert abs(got[i].score - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_toxicity_of_an_empty_table(spark, none):
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert toxicity.score_documents(none, toxicity.train(none, labels)).count() == 0
+
+
 def test_toxicity_without_labels(spark, docs):
     scores = toxicity.score_documents(docs, toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int")))
     assert all(r.score < 1e-9 for r in scores.collect())
