@@ -16,25 +16,35 @@ Every byte that lies in a string of `span` bytes which also starts elsewhere goe
    is sorted by the bytes). For each distance of the window's start from the anchor,
    segments that agree that far to the left and, for the rest, to the right have an
    equal window.
-4. An anchor with over GROUP different segments is instead settled by counting
-   its windows by a 128-bit hash, which needs no common task.
+4. An anchor with over GROUP different segments is split by more context. Windows are
+   equal only at an equal distance d of their start from the anchor, so each segment is
+   cut into its windows with d in the lower and in the upper half of the range, and
+   grouped anew by the bytes that all windows of that half have in common. These grow
+   from the anchor's own GRAM bytes, at 8 halvings, to the window's span bytes, where a
+   group has one kind of segment at most. Groups that fit by then are sorted as above.
+
+Equal segments, which are counted and not sorted, agree in two 64-bit hashes, of the
+anchor and of the segment.
 
 Nulls and edges: a null text counts as empty; texts under `span` bytes keep all.
-Matches never cross texts, and overlapping ones count. Rows that repeat a doc_id
-must have the same text; each is judged, and both texts count as occurrences. A
-row with a null doc_id counts for others and keeps all. Extra columns are ignored.
+Matches never cross texts, and overlapping ones count. Rows are told apart by a 96-bit
+hash of doc_id and text, so rows that repeat an id, or have none, are judged each by
+their own text and returned each; rows equal in both are copies of each other. Extra
+columns are ignored. Long texts are hashed piece by piece.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, pieces, prefix_hashes, span_hashes, written
+from .common import FEW, PIECE, U64, mix, pieces, prefix_hashes, span_hashes, written
 
-SPAN, GRAM, GROUP = 200, 48, 32_768
+SPAN, GRAM, GROUP = 200, 48, 4096
 
 
 def segment(buf: np.ndarray, off: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -66,21 +76,37 @@ def segment(buf: np.ndarray, off: np.ndarray, span: int, gram: int) -> tuple[np.
     return doc[first], s, e, p, mix(span_hashes(prefix, p, p + gram)), h
 
 
+def parts(buf: np.ndarray, off: np.ndarray, span: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place, bytes, offsets): the texts as they are, or one long text in parts that overlap, so that each window is in one."""
+    if len(buf) <= 2 * PIECE:
+        yield 0, buf, off
+        return
+    for at in range(0, max(len(buf) - span + 1, 1), PIECE):
+        part = buf[at : at + PIECE + span - 1]
+        yield at, part, np.array([0, len(part)])
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, d, t): d and t tell rows apart."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.withColumns({"d": F.xxhash64("doc_id", "text"), "t": F.hash("doc_id", "text")})
+
+
 def segments(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """(a, h, d, s, e, q): anchor and segment hashes, document, start, end and the anchor's place in the segment."""
+    """(a, h, d, t, s, e, q): anchor and segment hashes, row, start, end and the anchor's place in the segment."""
 
     def run(batches):
         for b in batches:
-            ids = b.column("d")
-            for i, j, buf, off in pieces(b.column("text")):
-                doc, s, e, p, a, h = segment(buf, off, span, gram)
-                base = off[doc]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.view(np.int64)), pa.array(h.view(np.int64)), ids.take(pa.array(i + doc)), pa.array((s - base).astype(np.int64)), pa.array((e - base).astype(np.int64)), pa.array((p - s).astype(np.int32))],
-                    ["a", "h", "d", "s", "e", "q"],
-                )
+            for i, j, whole, ends in pieces(b.column("text")):
+                for at, buf, off in parts(whole, ends, span):
+                    doc, s, e, p, a, h = segment(buf, off, span, gram)
+                    base, row = off[doc] - at, pa.array(i + doc)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(a.view(np.int64)), pa.array(h.view(np.int64)), b.column("d").take(row), b.column("t").take(row), pa.array((s - base).astype(np.int64)), pa.array((e - base).astype(np.int64)), pa.array((p - s).astype(np.int32))],
+                        ["a", "h", "d", "t", "s", "e", "q"],
+                    )
 
-    return docs.select(F.col("doc_id").cast("long").alias("d"), "text").mapInArrow(run, "a long, h long, d long, s long, e long, q int")
+    return keyed(docs).select("d", "t", "text").mapInArrow(run, "a long, h long, d long, t int, s long, e long, q int")
 
 
 class Sorter:
@@ -197,33 +223,60 @@ def repeated(group: np.ndarray, buf: np.ndarray, off: np.ndarray, anchor: np.nda
     return far, near
 
 
-def _with_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (a, d, s, e, q, need, many) with the segments' bytes."""
+BODIES = "a long, d long, t int, s long, q int, need boolean, lo int, hi int, body binary"
+
+
+def _with_bytes(docs: DataFrame, wanted: DataFrame, span: int, gram: int) -> DataFrame:
+    """wanted (a, d, t, s, e, q, need) with the segments' bytes and the range of distances, which is whole."""
+    names = [x.split()[0] for x in BODIES.split(", ")]
 
     def run(batches):
         for b in batches:
             kept = b.column("found")
-            parts, offset = kept.flatten(), np.r_[0, np.cumsum(kept.value_lengths().to_numpy(zero_copy_only=False))]
-            s, e = parts.field("s").to_numpy(), parts.field("e").to_numpy()
+            found, offset = kept.flatten(), np.r_[0, np.cumsum(kept.value_lengths().to_numpy(zero_copy_only=False))]
+            s, e = found.field("s").to_numpy(), found.field("e").to_numpy()
             for i, j, buf, off in pieces(b.column("text")):
                 lo, hi = offset[i], offset[j]
-                if lo == hi:
-                    continue
-                base = np.repeat(off[:-1], np.diff(offset[i : j + 1]))
+                row = np.repeat(np.arange(j - i), np.diff(offset[i : j + 1]))
                 for k in range(lo, hi, 20_000):
                     m = min(k + 20_000, hi)
-                    data = [buf[x:y].tobytes() for x, y in zip((s[k:m] + base[k - lo : m - lo]).tolist(), (e[k:m] + base[k - lo : m - lo]).tolist(), strict=True)]
-                    own = parts.slice(k, m - k)
-                    d = pa.array(np.repeat(b.column("d").to_numpy(zero_copy_only=False)[i:j], np.diff(offset[i : j + 1]))[k - lo : m - lo])
-                    yield pa.RecordBatch.from_arrays([own.field("a"), d, own.field("s"), own.field("q"), own.field("need"), own.field("many"), pa.array(data, pa.binary())], ["a", "d", "s", "q", "need", "many", "body"])
+                    base = off[:-1][row[k - lo : m - lo]]
+                    data = [buf[x:y].tobytes() for x, y in zip((s[k:m] + base).tolist(), (e[k:m] + base).tolist(), strict=True)]
+                    own, at, full = found.slice(k, m - k), pa.array(i + row[k - lo : m - lo]), np.zeros(m - k, np.int32)
+                    columns = [own.field("a"), b.column("d").take(at), b.column("t").take(at), own.field("s"), own.field("q"), own.field("need"), pa.array(full), pa.array(full + (span - gram)), pa.array(data, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    by_doc = wanted.groupBy("d", "t").agg(F.collect_list(F.struct("a", "s", "e", "q", "need")).alias("found"))  # of one text: bounded by its length
+    return keyed(docs).join(by_doc.hint("merge"), ["d", "t"]).select("d", "t", "text", "found").mapInArrow(run, BODIES)
 
-    by_doc = wanted.groupBy("d").agg(F.collect_list(F.struct("a", "s", "e", "q", "need", "many")).alias("found"))  # of one text: bounded by its length
-    texts = docs.select(F.col("doc_id").cast("long").alias("d"), "text")
-    return texts.join(by_doc.hint("merge"), "d").select("d", "text", "found").mapInArrow(run, "a long, d long, s long, q int, need boolean, many boolean, body binary")
+
+def _halved(bodies: DataFrame, span: int) -> DataFrame:
+    """The windows of segments in each half of their range of distances, as segments (h: their hash) with the half's common bytes as anchor hash."""
+    names = ["h", *(x.split()[0] for x in BODIES.split(", "))]
+
+    def run(batches):
+        for b in batches:
+            a, d, t, s, q, need, low, high = (b.column(c).to_numpy(zero_copy_only=False) for c in names[1:-1])
+            q, low, high = q.astype(np.int64), low.astype(np.int64), high.astype(np.int64)
+            for i, j, buf, off in pieces(b.column("body")):
+                prefix, own = prefix_hashes(buf), slice(i, j)
+                middle = (low[own] + high[own]) >> 1
+                for lo, hi in ((low[own], middle), (middle + 1, high[own])):
+                    near, far = np.maximum(lo, span - (np.diff(off) - q[own])), np.minimum(hi, q[own])  # distances that the segment has
+                    at = np.flatnonzero((lo <= hi) & (near <= far))
+                    lo, hi, near, far, row, anchor = lo[at], hi[at], near[at], far[at], i + at, off[at] + q[i + at]
+                    start, end = anchor - far, anchor - near + span
+                    key = mix(a[row].view(U64) ^ mix(span_hashes(prefix, anchor - lo, anchor - hi + span) + mix((lo << 32 | hi).astype(U64))))
+                    h = mix(span_hashes(prefix, start, end) ^ mix((end - start).astype(U64)))
+                    data = [buf[x:y].tobytes() for x, y in zip(start.tolist(), end.tolist(), strict=True)]
+                    out = [h.view(np.int64), key.view(np.int64), d[row], t[row], s[row] + start - off[at], far.astype(np.int32), need[row], lo.astype(np.int32), hi.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(data, pa.binary())], names)
+
+    return bodies.mapInArrow(run, "h long, " + BODIES)
 
 
 def _settled(bodies: DataFrame, span: int, gram: int) -> DataFrame:
-    """(d, s, e) to remove, from segments that meet by anchor."""
+    """(d, t, s, e) to remove, from segments that meet by anchor."""
     most = 3 << 20
 
     def run(batches):
@@ -237,7 +290,7 @@ def _settled(bodies: DataFrame, span: int, gram: int) -> DataFrame:
             q, s = col("q").astype(np.int64), col("s")
             far, near = repeated(col("a"), buf, off, q, span, gram)
             at = np.flatnonzero((far >= 0) & col("need"))
-            return pa.RecordBatch.from_arrays([pa.array(col("d")[at]), pa.array(s[at] + q[at] - far[at]), pa.array(s[at] + q[at] - near[at] + span)], ["d", "s", "e"])
+            return pa.RecordBatch.from_arrays([pa.array(col("d")[at]), pa.array(col("t")[at]), pa.array(s[at] + q[at] - far[at]), pa.array(s[at] + q[at] - near[at] + span)], ["d", "t", "s", "e"])
 
         for batch in batches:
             for i in range(0, batch.num_rows, 4000):
@@ -253,52 +306,40 @@ def _settled(bodies: DataFrame, span: int, gram: int) -> DataFrame:
         if held and sum(x.num_rows for x in held):
             yield done(pa.Table.from_batches(held))
 
-    return bodies.select("a", "d", "s", "q", "need", "body").repartition("a").sortWithinPartitions("a").mapInArrow(run, "d long, s long, e long")
-
-
-def _counted(bodies: DataFrame, span: int) -> DataFrame:
-    """(d, s, e) to remove, by counting the windows of segments."""
-
-    def run(batches):
-        for b in batches:
-            d, s, need = (b.column(c).to_numpy(zero_copy_only=False) for c in ("d", "s", "need"))
-            for i, j, buf, off in pieces(b.column("body")):
-                n = np.diff(off) - span + 1
-                row = np.repeat(np.arange(i, j), n)
-                place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                at = place + np.repeat(off[:-1], n)
-                one = span_hashes(prefix_hashes(buf), at, at + span)
-                two = span_hashes(prefix_hashes(np.array(mix(np.arange(256, dtype=U64)) >> U64(56), np.uint8)[buf]), at, at + span)
-                yield pa.RecordBatch.from_arrays([pa.array(mix(one).view(np.int64)), pa.array(mix(two).view(np.int64)), pa.array(d[row]), pa.array(s[row] + place), pa.array(need[row])], ["w", "x", "d", "s", "need"])
-
-    rows = written(bodies.select("d", "s", "need", "body").mapInArrow(run, "w long, x long, d long, s long, need boolean"), "suffix-windows")
-    twice = rows.groupBy("w", "x").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.where("need").join(twice, ["w", "x"]).select("d", "s", (F.col("s") + span).alias("e"))
+    return bodies.select("a", "d", "t", "s", "q", "need", "body").repartition("a").sortWithinPartitions("a").mapInArrow(run, "d long, t int, s long, e long")
 
 
 def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """(doc_id, s, e): byte ranges of texts, possibly overlapping, that together are all repeated bytes."""
+    """(d, t, s, e): byte ranges of the rows' texts (see keyed), possibly overlapping, that together are all repeated bytes."""
     found = written(segments(docs, span, gram), "suffix-segments")
     anchors = found.groupBy("a").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high")).where("n > 1")
     anchors = written(anchors, "suffix-anchors")  # a plain exchange, so that a frequent anchor can be split in the join
     shared = written(found.join(anchors.select("a", (F.col("low") != F.col("high")).alias("mixed")).hint("merge"), "a"), "suffix-shared")
-    whole = shared.where("not mixed").select("d", "s", "e")
+    out = shared.where("not mixed").select("d", "t", "s", "e")
     mixed = shared.where("mixed")
-    kinds = written(mixed.groupBy("a", "h").agg(F.count("*").alias("n"), F.min(F.struct(F.col("d").isNull().alias("lost"), "d", "s", "e", "q")).alias("x")), "suffix-kinds")
-    whole = whole.unionByName(mixed.join(kinds.where("n > 1").select("a", "h"), ["a", "h"]).select("d", "s", "e"))
-    sizes = kinds.groupBy("a").agg((F.count("*") > group).alias("many"))
-    wanted = kinds.join(sizes, "a").select("a", "x.d", "x.s", "x.e", "x.q", (F.col("n") == 1).alias("need"), "many")
-    bodies = written(_with_bytes(docs, wanted), "suffix-bodies")
-    out = whole.unionByName(_settled(bodies.where("not many"), span, gram))
-    if not bodies.where("many").isEmpty():
-        out = out.unionByName(_counted(bodies.where("many"), span))
-    return out.where("d is not null").withColumnRenamed("d", "doc_id")
+    kinds = written(mixed.groupBy("a", "h").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "s", "e", "q")).alias("x")), "suffix-kinds")
+    out = out.unionByName(mixed.join(kinds.where("n > 1").select("a", "h"), ["a", "h"]).select("d", "t", "s", "e"))
+    bodies = written(_with_bytes(docs, kinds.select("a", "x.*", (F.col("n") == 1).alias("need")), span, gram), "suffix-bodies")
+    while True:
+        large = written(bodies.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > group).select("a"), "suffix-large")
+        n = large.count()
+        if not n:
+            return out.unionByName(_settled(bodies, span, gram))
+        if n <= FEW:
+            large = F.broadcast(large)
+        out = out.unionByName(written(_settled(bodies.join(large, "a", "left_anti"), span, gram), "suffix-found"))
+        halves = written(_halved(bodies.join(large, "a", "left_semi"), span), "suffix-halves")
+        kinds = halves.groupBy("a", "h").agg(F.count("*").alias("n"), F.min_by(F.struct(*(c for c in bodies.columns if c != "a")), F.struct("d", "t", "s")).alias("x"))
+        kinds = written(kinds, "suffix-half-kinds")
+        again = halves.where("need").join(kinds.where("n > 1").select("a", "h"), ["a", "h"])
+        out = out.unionByName(again.select("d", "t", "s", (F.col("s") + F.length("body")).alias("e")))
+        bodies = kinds.select("a", "x.*", "n").withColumn("need", F.col("need") & (F.col("n") == 1)).select(*bodies.columns)
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): removed byte ranges, merged and in order, and the bytes that are left."""
     ranges = written(repeats(docs, span, gram, group), "suffix-ranges")
-    by_doc = ranges.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("s", "e")).alias("found"))
+    by_doc = ranges.groupBy("d", "t").agg(F.collect_set(F.struct("s", "e")).alias("found"))  # of one text: bounded by its length
 
     def run(batches):
         for b in batches:
@@ -323,5 +364,5 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, group: i
                     [b.column("doc_id").slice(i, j - i), pa.array(np.diff(off)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"]
                 )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(by_doc.hint("merge"), texts["doc_id"] == by_doc["d"], "left").select("doc_id", "text", "found").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    rows = keyed(docs).join(by_doc.hint("merge"), ["d", "t"], "left").select("doc_id", "text", "found")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

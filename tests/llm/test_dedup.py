@@ -95,9 +95,39 @@ def brute_repeats(corpus, span):
     return out
 
 
-@pytest.mark.parametrize("group", [32_768, 1])
+def test_repeats_of_rows_with_repeated_and_null_ids(spark, prose):
+    import random
+
+    rng = random.Random(31)
+    own = [prose(rng, 120) for _ in range(6)]
+    passage = prose(rng, 80)[:260]
+    rows = [(1, own[0] + passage + own[1]), (1, own[2]), (None, own[3] + passage + own[4]), (2, own[5]), (None, None), (None, ""), (7, own[2][:150])]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").withColumn("d", F.lit("clash"))).collect()
+    assert len(got) == len(rows)
+    out = sorted((r.doc_id or 0, r.n_bytes, sum(x.end - x.start for x in r.spans)) for r in got)
+    assert out == sorted((i or 0, len(t or ""), 260 if t and passage in t else 0) for i, t in rows)
+
+
+def test_repeats_in_a_long_text(spark, prose, monkeypatch):
+    import random
+
+    rng = random.Random(32)
+    monkeypatch.setattr(suffixes, "PIECE", 1000)
+    p = prose(rng, 90)
+    rows = [(1, " ".join([prose(rng, 900), p, prose(rng, 900), p, prose(rng, 100)])), (2, prose(rng, 100)), (3, "q" * 5000)]
+    want = brute_repeats(rows, 200)
+    doc = [np.frombuffer(t.encode(), np.uint8) for _, t in rows]
+    for buf in doc:  # each window is in one part
+        starts = [at + k for at, part, _ in suffixes.parts(buf, np.array([0, len(buf)]), 200) for k in range(len(part) - 199)]
+        assert starts == list(range(max(len(buf) - 199, 0)))
+    for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert (r.n_bytes, sum(x.end - x.start for x in r.spans)) == want[r.doc_id][:2]
+
+
+@pytest.mark.parametrize("group", [4096, 1])
 def test_repeats(spark, corpus, group):
     rows = [(i, t) for i, t in corpus] + [(1000, ("ab" * 400)), (1001, "z" * 199), (1002, "y" * 201), (1003, "ba" * 120), (1004, corpus[0][1][:150] + corpus[1][1][20:300] + corpus[2][1])]
+    rows += [(2000 + i, f"{'pq' * i}{corpus[6][1][:180]}{i % 7:04d} one {i % 3} more {i % 2}") for i in range(30)]  # one anchor in many contexts
     want = brute_repeats(rows, 200)
     got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), group=group).collect()
     assert len(got) == len(rows)
