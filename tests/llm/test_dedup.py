@@ -165,7 +165,7 @@ def test_passages_cover_exact_repeats(spark, docs, corpus, words):
         assert len(need - have) <= 0.02 * len(need), i
         if not any(len(where[tuple(x[k : k + 50])]) > 1 for k in range(len(x) - 49)) and not (i < 20 or 60 <= i < 80):
             assert not have, i
-    assert got[None].n_repeated == 0
+    assert got[None].n_repeated == len(w[5])  # a copy of document 5
 
 
 def test_fuzzy_passage(spark, prose):
@@ -183,8 +183,39 @@ def test_fuzzy_passage(spark, prose):
     assert got[2].leaders == [1] and got[1].n_links == 1
 
 
+def test_passages_of_rows_with_repeated_and_null_ids(spark, prose):
+    import random
+
+    rng = random.Random(41)
+    p, q = prose(rng, 70), prose(rng, 60)
+    rows = [(1, f"{prose(rng, 40)} {p}"), (1, prose(rng, 100)), (1, f"{q} {prose(rng, 30)}"), (None, f"{prose(rng, 20)} {p} {prose(rng, 9)}"), (0, f"{prose(rng, 50)} {q}"), (None, None), (None, prose(rng, 60)), (0, f"{prose(rng, 50)}")]
+    got = passages.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").withColumn("i", F.lit("clash"))).collect()
+    out = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_repeated > 0) for r in got)
+    assert out == sorted((-1 if i is None else i, len((t or "").split()), bool(t) and (p in t or q in t)) for i, t in rows)
+    assert all(r.n_links == (r.n_repeated > 0) for r in got)
+
+
+def edited(rng, words, share):
+    gone = set(rng.sample(range(len(words)), round(share * len(words))))
+    return [f"e{rng.randrange(10**6)}" if k in gone else w for k, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("identity", [0.9, 0.85, 0.8])
+def test_recall_of_edited_passages(spark, prose, identity):
+    """Pairs of 80-word passages, in one of which a share of the words is replaced, in different surroundings."""
+    import random
+
+    rng, rows = random.Random(int(identity * 100)), []
+    for i in range(60):
+        p = prose(rng, 80).split(" ")
+        e = edited(rng, p, 1 - identity)
+        rows += [(2 * i, " ".join([prose(rng, 60), *p, prose(rng, 60)])), (2 * i + 1, " ".join([prose(rng, 60), *e, prose(rng, 60)]))]
+    got = passages.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("n_repeated >= 40").count() / len(rows) >= 0.9
+
+
 def test_chaining_is_optimal_under_its_cost():
-    x, y = [0, 6, 12, 30, 18], [0, 6, 12, 5, 18]
+    x, y = [0, 6, 12, 30, 18], [0, 6, 12, 5, 18]  # seeds of five words
     assert passages.chains(x, y)[0] == [0, 1, 2, 4]
 
 
