@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import pieces
+from .common import FEW, pieces, written
 
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
 SAMPLE_DOCS, SAMPLE_WINDOWS = 800, 3
@@ -139,7 +139,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Network:
     labelled = docs.where("lang is not null and doc_id is not null and text is not null")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     # most rows of a frequent language go before the sort: about four times the sample stay, so one language never fills a task
-    sizes = labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_rows"))
+    sizes = written(labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_rows")), "language-sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= FEW else sizes  # thinned where the rows are, before they are dealt by language
     part = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) * F.col("_rows") < F.lit((1 << 22) * sample_docs)
     thinned = labelled.select("doc_id", "lang").join(sizes, F.col("lang") == F.col("_lang")).where(part)
     chosen = thinned.select("doc_id", "lang").withColumn("_place", place).where(F.col("_place") <= sample_docs).select("doc_id", "lang")

@@ -263,7 +263,8 @@ def read(manifest: DataFrame, payload: bool = False) -> DataFrame:
                 if held:
                     yield batched(held)
 
-    return manifest.select("archive").repartition("archive").mapInArrow(run, schema)
+    # by number, as a few file names would otherwise be read by one task
+    return manifest.select("archive").repartition(max(1, manifest.count())).mapInArrow(run, schema)
 
 
 def revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
