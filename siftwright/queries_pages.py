@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import classify, udfs, web
+from .functions import classify, countries, notices, udfs, web
 from .functions import lexicon as L
 from .functions.text import found, host, squeeze, strip
 from .functions.validate import skip_domain
@@ -141,7 +141,7 @@ def _extracted(spark, d):
     p = pages(spark, d).withColumns({"page_title": web.inner(h, "title"), "h1": web.inner(h, "h1"), "footer": footer(h), "organisation": structured.organisation(h)})
     p = p.withColumns({
         "company_name": web.company_name(F.col("organisation")["name"], F.col("footer"), F.col("page_title"), F.col("h1"), F.col("domain")),
-        "emails": F.array_join(web.emails(h, F.col("text")), ","), "phones": F.array_join(F.transform(web.phone_candidates(F.col("text")), strip), ","), "address": F.lit("?"),
+        "emails": F.array_join(web.emails(h, F.col("text")), ","), "phones": F.array_join(F.transform(web.phone_candidates(F.col("text")), strip), ","), "address": notices.address_text(h, F.col("text")),
         "description": F.coalesce(web.meta(h, "description"), web.meta(h, "og:description"), F.substring("text", 1, 500)), "social": F.nullif(F.to_json(structured.social(web.hrefs(h))), F.lit("{}")),
         "is_parked": classify.parked(F.col("page_title"), F.col("text")),
     })
@@ -218,6 +218,8 @@ _MAILS = lambda t, sep: f"(SELECT string_agg(e, '{sep}' ORDER BY e) FROM (SELECT
 _PHONES = lambda t: f"len(regexp_extract_all({t}, '(?i)(?:phone|tel|telefon|telephone|mobile|cell|fax)[ \\t\\n:]*([+0-9 \\t\\-()]{{7,}})', 1))"
 _PARKED = f"({_any('lower(coalesce(title, $$$$))', L.PARKED)} OR {_any('substr(lower(text), 1, 3000)', L.PARKED)} OR length(trim(text)) < 100)"
 _argmax = lambda c, classes: "(SELECT arg_max(k, (s, -o)) FROM (VALUES " + ", ".join(f"({i}, '{k}', {_sum(c, w)})" for i, (k, w) in enumerate(classes.items())) + ") t(o, k, s) WHERE s > 0)"
+_ADDRESS = r"""(regexp_matches(regexp_replace(regexp_extract(html, '(?is)<address\b[^>]*>(.*?)</address>', 1), '<[^>]*>', ' ', 'g'), '[^\s,]')
+   OR regexp_matches(text, '\p{Lu}[\p{L} .-]*(?:straße|strasse|str\.|weg|platz|allee|gasse|ring)[ ]?\d+[a-z]?[ ,]+\d{5}[ ]+\p{Lu}\p{L}+'))"""
 _INDUSTRY = lambda t, extra="''": f"coalesce({_argmax(f'lower(substr({t}, 1, 2000) || $$ $$ || {extra})', L.INDUSTRIES)}, '')"
 _COUNTRY = "CASE " + " ".join(f"WHEN contains(lower(url), '{a}') THEN '{b}'" for a, b in L.URL_COUNTRIES) + " " + " ".join(f"WHEN {_any('lower(text)', w)} THEN '{c}'" for c, w in L.TEXT_COUNTRIES) + " ELSE 'UNKNOWN' END"
 _CONTEXT = f"CASE WHEN domain LIKE '%.at' THEN 'austrian' WHEN domain LIKE '%.de' THEN 'german' WHEN domain LIKE '%.uk' THEN 'uk' ELSE coalesce({_argmax('lower(text)', L.CONTEXT)}, CASE WHEN domain LIKE '%.fr' OR domain LIKE '%.ch' THEN 'german' ELSE 'uk' END) END"
@@ -239,7 +241,7 @@ SQL = {
     "vat_ids": r"SELECT * FROM (SELECT doc_id, nullif(regexp_extract(text, '(?i)(?:VAT|USt[- \t]?Id[- \t]?Nr\.?|UID|TVA|IVA|NIF|BTW|MWST|GST)[ \t:]*([A-Z]{2}[ \t]?[0-9][0-9 \t]*)', 1), '') AS vat FROM documents) WHERE vat IS NOT NULL",
     "company_name": f"WITH {_P} SELECT page_id, {_COMPANY} AS company_name FROM p",
     "parked": f"WITH {_P} SELECT page_id, {_PARKED} AS parked FROM p",
-    "confidence": f"WITH {_P}, c AS (SELECT page_id, coalesce({_MAILS('text', ',')}, '') AS emails, {_PHONES('text')} AS phones, {_INDUSTRY('text', 'substr(text, 1, 500)')} AS industry FROM p) SELECT page_id, 50.0::DOUBLE + 20 * (emails <> '')::INT + 20 * (phones > 0)::INT + 5 * (industry <> '')::INT AS confidence_score FROM c",
+    "confidence": f"WITH {_P}, c AS (SELECT page_id, coalesce({_MAILS('text', ',')}, '') AS emails, {_PHONES('text')} AS phones, {_INDUSTRY('text', 'substr(text, 1, 500)')} AS industry, {_ADDRESS} AS address FROM p) SELECT page_id, 35.0::DOUBLE + 15 * coalesce(address, false)::INT + 20 * (emails <> '')::INT + 20 * (phones > 0)::INT + 5 * (industry <> '')::INT AS confidence_score FROM c",
     "industry": f"SELECT doc_id, {_INDUSTRY('text')} AS industry FROM documents",
     "country_detect": f"WITH {_P} SELECT page_id, {_COUNTRY} AS country FROM p",
     "country_context": f"WITH {_P} SELECT page_id, {_CONTEXT} AS context FROM p",
