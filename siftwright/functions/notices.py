@@ -246,3 +246,26 @@ def plain_name(site: Column, application: Column, title: Column, h1: Column, dom
 
 def legacy_parked(title: Column, description: Column, h1: Column) -> Column:
     return has_any(F.lower(F.concat_ws(" ", title, description, h1)), LEGACY_PARKED)
+
+
+# ---------------------------------------------------------------- projections
+def stamped(name: Column, run: Column, at: Column) -> Column:
+    """A path with the time and the start of the run's id: name_yyyyMMdd_HHmmss_run."""
+    return F.concat_ws("_", name, F.date_format(at.cast("timestamp_ntz"), "yyyyMMdd_HHmmss"), F.nullif(F.left(run, F.lit(8)), F.lit("")))
+
+
+def normalised(record: dict[str, Column]) -> Column:
+    """A legal record under its stored names: registered address, chief, directors as a list, and whether it is complete."""
+    get = lambda *names: F.coalesce(*(F.nullif(record[n], F.lit("")) for n in names if n in record), F.lit(None).cast("string"))
+    people = directors_list(get("directors"))
+    chief = F.coalesce(get("ceo_name", "ceo"), F.try_element_at(people, F.lit(1)))
+    parts = {"legal_name": get("legal_name"), "registered_street": get("registered_street", "street_address", "street"), "registered_zip": get("registered_zip", "postal_code"), "registered_city": get("registered_city", "city"), "ceo_name": chief}
+    complete = reduce(lambda a, b: a & b, (x.isNotNull() for x in parts.values()))
+    status = F.when(complete, "COMPLETE").when(parts["legal_name"].isNotNull(), "PARTIAL").otherwise("EMPTY")
+    return F.struct(*(v.alias(k) for k, v in parts.items()), F.to_json(F.coalesce(people, F.array().cast("array<string>"))).alias("directors"), status.alias("status"))
+
+
+def registry_record(domain: Column, registrant: Column, country: Column) -> Column:
+    """The record of a domain whose pages could not be read: what the registry knows, or the domain's label as a name."""
+    own = F.coalesce(F.nullif(strip(registrant), F.lit("")), label(domain))
+    return F.struct(own.alias("company_name"), F.coalesce(F.nullif(country, F.lit("")), F.lit("-")).alias("country"), F.lit("whois_fallback").alias("method"), F.when(F.nullif(strip(registrant), F.lit("")).isNotNull(), "20").otherwise("0").alias("confidence"))

@@ -6,7 +6,7 @@ equi-joins on the key; a table that is clustered by it needs no further shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of
@@ -67,6 +67,18 @@ def without_blacklisted(domains: DataFrame, blacklist: list[str] | DataFrame, co
     return domains.where(~F.col(column).rlike(any_of(blacklist))) if blacklist else domains
 
 
-def latest(rows: DataFrame, key: str, at: str) -> DataFrame:
-    """The last row of each key by time."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(at).desc()))).where("_n = 1").drop("_n")
+def update_columns(table: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """table with the columns' values of changes (one row a key) where a key has any; others stay as they are."""
+    mine = changes.select(key, F.lit(True).alias("changed_"), *(F.col(c).alias(f"{c}_new_") for c in columns))
+    out = table.join(mine, key, "left")
+    return out.select(*(F.when(F.col("changed_"), F.col(f"{c}_new_")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in table.columns))
+
+
+def wiped(table: DataFrame) -> DataFrame:
+    """An empty table of the same columns, to overwrite a store with."""
+    return table.where(F.lit(False))
+
+
+def best_first(table: DataFrame, score: str = "confidence_score", newest: str | None = None, key: str = "domain") -> DataFrame:
+    """Rows by score, then age, then key, so that equal scores have one order."""
+    return table.orderBy(F.desc_nulls_last(score), *([F.desc_nulls_last(newest)] if newest else []), key)

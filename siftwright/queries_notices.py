@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .functions import classify
+from .functions import classify, countries
 from .functions import notices as N
-from .queries_fixtures import answer, rows
+from .operators import store
+from .queries_fixtures import TEXTS, answer, rows
+from .queries_store import table
 
 
 def _parts(c: Column) -> Column:
@@ -53,6 +55,10 @@ CASES = {
     "legacy_phone": ("x", lambda: N.any_phone(F.col("x")), [("Tel: 030 123456",), ("call +49 30 1234567 now",), ("Phone (030) 123-456",), ("order 1234567",), ("0049 30 1234567",), ("",), (None,)]),
     "legacy_name": ("x y", lambda: N.plain_name(F.col("x"), F.lit(None).cast("string"), F.col("y"), F.lit("Head"), F.lit("my-shop.de")), [("Site", "T"), ("", "Acme | Home"), (None, "Welcome to the shop - Acme"), (None, "Acme - the best of all shops"), (None, "Plain"), (None, ""), (None, None)]),
     "legacy_parked": ("x y", lambda: N.legacy_parked(F.col("x"), F.col("y"), F.lit("")), [("Buy this domain", ""), ("Acme", "coming soon"), ("Acme", "We make things"), (None, None), ("Sedo", None), ("", "")]),
+    "record_path": ("x y", lambda: N.stamped(F.lit("export"), F.col("x"), F.col("y")), [("0123456789ab", "2024-05-06 07:08:09"), ("", "2024-05-06 07:08:09"), (None, "1999-12-31 23:59:59"), ("ab", "2024-01-01")]),
+    "record_normalised": ("x y", lambda: _parts(N.normalised({"legal_name": F.col("x"), "directors": F.col("y"), "street": F.lit("Weg 1"), "postal_code": F.lit("10115"), "city": F.lit("Berlin")})), [("Acme GmbH", "Max M; Eva N"), ("Acme GmbH", ""), ("", "Max M"), (None, None), ("Acme GmbH", " ; ")]),
+    "record_registry": ("x y", lambda: _parts(N.registry_record(F.col("x"), F.col("y"), F.lit(""))), [("acme-shop.de", "Acme GmbH"), ("acme-shop.de", " "), ("a.de", None)]),
+    "extract_best": ("x", lambda: countries.best_pack(F.col("x")), [(TEXTS["german"],), (TEXTS["austrian"],), (TEXTS["uk"],), ("nothing",), ("",), (None,)]),
 }
 
 
@@ -96,7 +102,30 @@ ANSWERS = {
     'legacy_phone': ['030 123456', '+49 30 1234567', '(030) 123-456', None, '0049 30 1234567', None, None],
     'legacy_name': ['Site', 'Acme', 'Acme', 'Acme', 'Plain', 'Head', 'Head'],
     'legacy_parked': [True, True, False, False, True, False],
+    'record_path': ['export_20240506_070809_01234567', 'export_20240506_070809', 'export_19991231_235959', 'export_20240101_000000_ab'],
+    'record_normalised': ['Acme GmbH|Weg 1|10115|Berlin|Max M|["Max M","Eva N"]|COMPLETE', 'Acme GmbH|Weg 1|10115|Berlin|-|[]|PARTIAL', '-|Weg 1|10115|Berlin|Max M|["Max M"]|EMPTY', '-|Weg 1|10115|Berlin|-|[]|EMPTY', 'Acme GmbH|Weg 1|10115|Berlin|-|[]|PARTIAL'],
+    'record_registry': ['Acme GmbH|-|whois_fallback|20', 'Acme Shop|-|whois_fallback|0', 'A|-|whois_fallback|0'],
+    'extract_best': ['german', 'austrian', 'uk', None, None, None],
 }
 
-QUERIES = {name: _case(name) for name in CASES}
-SQL = {name: answer(f"{CASES[name][0]} found", *((*x, y) for x, y in zip(CASES[name][2], ANSWERS[name], strict=True))) for name in CASES}
+def store_update(spark, d):
+    """Segments of one nation's customers are replaced."""
+    customers = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    changes = customers.where("c_nationkey = 3").select("c_custkey", F.lit("CHANGED").alias("c_mktsegment"))
+    return store.update_columns(customers, changes, "c_custkey", ["c_mktsegment"])
+
+
+def store_wipe(spark, d):
+    return store.wiped(table(spark, d, "region").select("r_regionkey", "r_name"))
+
+
+def store_best_first(spark, d):
+    return store.best_first(table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.to_date("o_orderdate").cast("string").alias("o_orderdate")), "o_totalprice", "o_orderdate", "o_orderkey")
+
+
+QUERIES = {name: _case(name) for name in CASES} | {f.__name__: f for f in (store_update, store_wipe, store_best_first)}
+SQL = {name: answer(f"{CASES[name][0]} found", *((*x, y) for x, y in zip(CASES[name][2], ANSWERS[name], strict=True))) for name in CASES} | {
+    "store_update": "SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey = 3 THEN 'CHANGED' ELSE c_mktsegment END AS c_mktsegment FROM customer",
+    "store_wipe": "SELECT r_regionkey, r_name FROM region WHERE false",
+    "store_best_first": "SELECT o_orderkey, o_totalprice, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate FROM orders ORDER BY o_totalprice DESC, o_orderdate DESC, o_orderkey",
+}

@@ -26,11 +26,13 @@ def in_tld(domain: Column, arg: str | None, any_case: bool = False) -> Column:
 
 
 def domains(names: DataFrame, source: str, tld: str | None = None, limit: int | None = None) -> DataFrame:
-    """Distinct usable domains of a column `domain`, labelled with their source; the limit is exact and takes the first by name."""
-    out = names.select(F.lower(F.trim("domain")).alias("domain")).where(F.col("domain").isNotNull() & ~skip_domain(F.col("domain")) & in_tld(F.col("domain"), tld)).distinct()
+    """Distinct usable domains of a column `domain`, labelled with their source; the limit is exact and takes the first by rank, where the list has one, then by name."""
+    usable = F.col("domain").isNotNull() & ~skip_domain(F.col("domain")) & in_tld(F.col("domain"), tld)
+    rank = F.col("rank") if "rank" in names.columns else F.lit(None).cast("long")
+    out = names.select(F.lower(F.trim("domain")).alias("domain"), rank.alias("rank")).where(usable).groupBy("domain").agg(F.min("rank").alias("rank"))
     if limit is not None:
-        out = out.orderBy("domain").limit(limit)
-    return out.withColumn("source", F.lit(source))
+        out = out.orderBy(F.asc_nulls_last("rank"), "domain").limit(limit)
+    return out.select("domain", F.lit(source).alias("source"))
 
 
 def top_list(spark: SparkSession, path: str) -> DataFrame:

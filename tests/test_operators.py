@@ -68,3 +68,11 @@ def test_validators_on_null(spark):
     for f in (V.vat_id, V.registration_number, V.legal_form, V.field_company_name, V.web_company_name, V.web_email, V.field_email, V.person_name, V.phone):
         assert row.select(f(F.col("c"))).first()[0] is None
     assert row.select(V.skip_domain(F.col("c"))).first()[0] is True
+
+
+def test_limit_takes_the_best_ranked(spark):
+    from siftwright.sources import readers
+
+    names = spark.createDataFrame([(3, "alpha.de"), (1, "zeta.de"), (2, "mid.de"), (9, "zeta.de"), (4, None)], "rank long, domain string")
+    assert {r.domain for r in readers.domains(names, "list", limit=2).collect()} == {"zeta.de", "mid.de"}
+    assert {r.domain for r in readers.domains(names.drop("rank"), "list", limit=2).collect()} == {"alpha.de", "mid.de"}
