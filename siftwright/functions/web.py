@@ -28,6 +28,12 @@ def visible(html: Column) -> Column:
     return squeeze(unescape(F.regexp_replace(no_scripts(html), "<[^>]*>", " ")))
 
 
+def lined(html: Column) -> Column:
+    """The same text with a line for each block."""
+    t = F.regexp_replace(squeeze(no_scripts(html)), r"(?i)</?(?:address|article|br|dd|div|dt|footer|h[1-6]|header|li|main|p|section|table|td|th|tr|ul)\b[^>]*>", "\n")
+    return strip(F.regexp_replace(unescape(F.regexp_replace(t, "<[^>]*>", "")), r"[ \t]*\n[ \t\n]*", "\n"))
+
+
 def inner(html: Column, tag: str) -> Column:
     """Text of the first such element."""
     return squeeze(unescape(F.regexp_replace(found(no_scripts(html), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1), "<[^>]*>", " ")))

@@ -6,7 +6,7 @@ equi-joins on the key; a table that is clustered by it needs no further shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of
@@ -82,3 +82,22 @@ def wiped(table: DataFrame) -> DataFrame:
 def best_first(table: DataFrame, score: str = "confidence_score", newest: str | None = None, key: str = "domain") -> DataFrame:
     """Rows by score, then age, then key, so that equal scores have one order."""
     return table.orderBy(F.desc_nulls_last(score), *([F.desc_nulls_last(newest)] if newest else []), key)
+
+
+#: the columns of the stored tables
+SCHEMAS = {
+    "queue": "id long, domain string, source string, status string, created_at timestamp, updated_at timestamp, robots_status string, robots_reason string",
+    "web": "domain string, company_name string, description string, emails string, phones string, industry string, confidence_score double, crawled_at timestamp, run_id string",
+    "legal": "domain string, legal_name string, legal_form string, register_type string, register_court string, registration_number string, vat_id string, ceo_name string, directors string, street_address string, postal_code string, city string, country string, phone string, email string, fax string, extraction_confidence double, extraction_date timestamp",
+}
+
+
+def created(spark: SparkSession, name: str) -> DataFrame:
+    """An empty stored table."""
+    return spark.createDataFrame([], SCHEMAS[name])
+
+
+def migrated(rows: DataFrame, schema: str) -> DataFrame:
+    """rows with all columns of a newer schema: missing ones are null, others stay as they are."""
+    empty = rows.sparkSession.createDataFrame([], schema)
+    return rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in empty.schema if f.name not in rows.columns})

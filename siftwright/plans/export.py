@@ -94,6 +94,27 @@ def enhanced(web: DataFrame, legal: DataFrame) -> DataFrame:
     return out.withColumn("directors", F.coalesce(F.array_join(F.filter(F.from_json("directors", "array<string>"), filled), "; "), "directors"))
 
 
+ROBUST = ["domain", "legal_name", "registrant_name", "legal_form", "street_address", "postal_code", "city", "country", "registrant_address", "registrant_city", "registrant_country", "register_type", "register_court", "registration_number", "vat_id", "ceo_name", "directors", "phone", "email", "fax", "legal_notice_url", "extraction_confidence", "extraction_date"]  # fixed value: the published columns
+#: later names of a field, in order of preference
+FALLBACKS = {"street_address": ["registered_street"], "postal_code": ["registered_zip"], "city": ["registered_city"], "country": ["registered_country"], "phone": ["legal_phone"], "email": ["legal_email"], "fax": ["fax_number"]}
+
+
+def robust_legal(legal: DataFrame, tld: str | None = None) -> DataFrame:
+    """The named legal entities in the 23 published columns; columns that the table lacks are null."""
+    have = lambda c: F.col(c) if c in legal.columns else F.lit(None).cast("string")
+    pick = lambda c: F.coalesce(have(c), *(have(x) for x in FALLBACKS[c]), F.lit("")) if c in FALLBACKS else have(c)
+    return legal.where(filled(F.col("legal_name")) & in_tld(F.col("domain"), tld, any_case=True)).select(*(pick(c).alias(c) for c in ROBUST))
+
+
+def json_rows(web: DataFrame, lists: tuple[str, ...] = ("emails", "phones")) -> DataFrame:
+    """(domain, json) of all columns: comma lists as arrays, opening hours as an object where they are one."""
+    parts = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), strip), lambda x: x != "")
+    rows = web.withColumns({c: parts(F.col(c)) for c in lists if c in web.columns})
+    if "business_hours" in web.columns:
+        rows = rows.withColumn("business_hours", F.from_json("business_hours", "map<string,string>"))
+    return rows.select("domain", F.to_json(F.struct(*(F.col(c) for c in rows.columns))).alias("json"))
+
+
 def save_csv(df: DataFrame, path: str) -> None:
     """CSV with a header, one file per partition."""
     df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").option("quoteAll", False).csv(path)

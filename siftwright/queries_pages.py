@@ -9,8 +9,8 @@ from .functions import classify, countries, notices, udfs, web
 from .functions import lexicon as L
 from .functions.text import found, host, squeeze, strip
 from .functions.validate import skip_domain
-from .operators import dom, structured
-from .plans import export
+from .operators import dom, store, structured
+from .plans import export, records
 from .queries_store import table
 from .sources import readers
 
@@ -155,9 +155,9 @@ def export_pages(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("string")
     best = p.select("domain", F.struct("confidence_score", (-F.col("page_id")).alias("o"), "company_name", "description", "emails", "phones", "industry").alias("r")).groupBy("domain").agg(F.max("r").alias("r"))
     results = best.select("domain", "r.company_name", "r.description", "r.emails", "r.phones", "r.industry", "r.confidence_score", *(none.alias(f"social_{k}") for k in ("linkedin", "twitter", "facebook", "instagram", "youtube")), F.lit("1").alias("crawled_at"), F.lit("run").alias("run_id"))
-    legal = spark.createDataFrame([], ", ".join(f"{c} string" for c in ("domain legal_name legal_form registration_number ceo_name directors fax fax_number street_address registered_street postal_code registered_zip city registered_city country registered_country".split())))
+    legal = store.migrated(records.legal_records(p, by_country=False), ", ".join(f"{c} string" for c in ("country", "fax_number", "registered_street", "registered_zip", "registered_city", "registered_country")))
     queue = queue_hosts(spark, d).withColumns({"robots_status": F.lit("ALLOWED"), "robots_reason": none})
-    return export.unified(results, legal, queue).select("domain", "company_name", "industry", "company_size", "emails", "robots_allowed", "confidence_score")
+    return export.unified(results, legal, queue).select("domain", "company_name", "legal_form", "registration_number", "ceo_names", "street", "postal_code", "city", "country", "industry", "company_size", "emails", "robots_allowed", "confidence_score")
 
 
 QUERIES = {
