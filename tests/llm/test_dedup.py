@@ -249,6 +249,23 @@ def test_passage_of_lines_with_other_leaders(spark, prose):
     assert all(80 <= n <= 84 if i % 4 > 1 else n == 0 for i, n in got.items())
 
 
+@pytest.mark.parametrize("hot", [16, 2])
+def test_edited_passage_of_seeds_with_other_leaders(spark, prose, hot, monkeypatch):
+    """Each line of the passage leads back to a document that has no more of it; few places are listed, more compared in blocks."""
+    import random
+
+    monkeypatch.setattr(passages, "HOT", hot, raising=False)
+    monkeypatch.setattr(passages, "BLOCK", 2, raising=False)
+    rng, rows = random.Random(23), []
+    for g in range(0, 240, 6):
+        lines = [prose(rng, 16).split(" ") for _ in range(4)]
+        rows += [(g + k, f"{prose(rng, 60)} {' '.join(line)} {prose(rng, 60)}") for k, line in enumerate(lines)]
+        p = [w for line in lines for w in line]
+        rows += [(g + 4, f"{prose(rng, 60)} {' '.join(p)} {prose(rng, 60)}"), (g + 5, f"{prose(rng, 60)} {' '.join(w if k % 12 != 8 else 'x' for k, w in enumerate(p))} {prose(rng, 60)}")]
+    got = {r.doc_id: r for r in passages.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r.n_repeated >= 60 and r.n_links == 1 if i % 6 > 3 else r.n_repeated == 0 for i, r in got.items())
+
+
 def test_all_places_in_the_leader(spark, prose):
     import random
 
