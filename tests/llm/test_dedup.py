@@ -266,6 +266,30 @@ def test_edited_passage_of_seeds_with_other_leaders(spark, prose, hot, monkeypat
     assert all(r.n_repeated >= 60 and r.n_links == 1 if i % 6 > 3 else r.n_repeated == 0 for i, r in got.items())
 
 
+def test_words_said_over_and_over(spark, prose):
+    """Texts of runs of one word: places that have the same words about them count once, and matches grow with the texts."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    a, b = np.full(2000, 7, np.uint64), np.full(700, 7, np.uint64)
+    x, y = passages.common_seeds(a, b)
+    assert len(x) <= 3 * len(a) and set(x) == set(range(1996)) and set(y) == set(range(696))
+    assert (found := passages.passages(a, b, x, y)) and {n for s, e, *_ in found for n in range(s, e)} == set(range(2000))
+    rows = [{"doc": d, "x": k, "block": 0, "i": 0, "j": 0, "label": None, "items": list(range(125))} for d in (1, 2, 3) for k in range(40)]
+    kinds = pa.schema([("doc", pa.int64()), ("x", pa.int32()), ("block", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("label", pa.int64()), ("items", pa.list_(pa.int32()))])
+    got = passages.compared(pa.Table.from_pylist(rows, kinds)).to_pylist()
+    assert [(r["doc"], r["leader"]) for r in got] == [(2, 1), (3, 1), (3, 2)]  # 4800 rows before, one for each pair of places
+    rng = random.Random(24)
+    rows = [(i, f"{prose(rng, 60)} {'the ' * 40} {prose(rng, 60)}") for i in range(40)]
+    p = prose(rng, 30)
+    rows += [(i, f"{prose(rng, 60)} {'the ' * 40} {p} {prose(rng, 60)} {'and ' * n}") for i, n in ((50, 400), (51, 300))]
+    got = {r.doc_id: r for r in passages.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r.n_repeated == 0 for i, r in got.items() if i < 40)
+    assert got[50].n_repeated >= 370 and got[51].n_repeated >= 370
+
+
 def test_all_places_in_the_leader(spark, prose):
     import random
 
