@@ -182,6 +182,44 @@ def test_toxicity_against_dictionaries(spark, prose, most, monkeypatch):
         assert abs(got[i].score - 1 / (1 + math.exp(-z))) < 1e-9
 
 
+@pytest.mark.parametrize(("most", "often"), [(4_000_000, 100_000), (600, 40)])
+def test_toxicity_of_pairs_against_dictionaries(spark, prose, most, often, monkeypatch):
+    """Order 2: a word's probability after the one before it, backed off to the words' own."""
+    monkeypatch.setattr(toxicity, "PASS_WORDS", most)
+    monkeypatch.setattr(toxicity, "FREQUENT", often)
+    rng = random.Random(7)
+    some = prose(rng, 25).split(" ")
+    rows = [(i, " ".join(rng.choice(some) for _ in range(rng.randint(0, 40))) + rng.choice(["", ", Dolt! dolt", " mud-head é", " " + prose(rng, 2)])) for i in range(200)]
+    rows += [(200, rows[3][1]), (201, None), (202, ""), (203, "unheard")]
+    labels = {i: int(rng.random() < 0.3) for i in range(0, 200, 2)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key_", F.lit("mine"))
+    model = toxicity.train(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"), order=2)
+    split = lambda t: re.findall("[0-9A-Za-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    c = [defaultdict(int), defaultdict(int)]
+    for i, t in rows:
+        if i in labels and zlib.crc32(str(i).encode()) % 5 and zlib.crc32(str(i).encode()) // 5 % toxicity.CALIBRATION_FOLDS:
+            for pair in zip([None, *split(t)], split(t), strict=False):
+                c[labels[i]][pair] += 1
+    after = [{w: {u for u, x in f if x == w} for _, w in f} for f in c]
+    vocabulary = set(after[0]) | set(after[1])
+    both = {w: len(after[0].get(w, set()) | after[1].get(w, set())) for w in vocabulary}
+    total = sum(both.values()) + toxicity.ALPHA * (len(vocabulary) + 1)
+
+    def p(k, u, w):
+        n, d = sum(map(len, after[k].values())), toxicity.DISCOUNT
+        low = max(len(after[k].get(w, ())) - d, 0) / n + d * len(after[k]) / n * (both.get(w, 0) + toxicity.ALPHA) / total
+        seen = [m for (v, _), m in c[k].items() if v == u]
+        return (max(c[k].get((u, w), 0) - d, 0) + d * len(seen) * low) / sum(seen) if seen else low
+
+    _, want = plain_kneser_ney(rows, labels)
+    got = {r.doc_id: r for r in toxicity.score_documents(docs, model).collect()}
+    assert len(model.weights) == 5 and model.weights[3] and got[1].key_ == "mine" and len(got) == len(rows)
+    for i, t in rows:
+        w = split(t)
+        pairs = sum(math.log(p(1, u, x) / p(0, u, x)) for u, x in zip([None, *w], w, strict=False)) / max(len(w), 1)
+        assert abs(got[i].score - 1 / (1 + math.exp(-np.dot(model.weights, [*want[i], pairs, 1])))) < 1e-9, i
+
+
 def test_toxicity_of_an_empty_table(spark, none):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert toxicity.score_documents(none, toxicity.train(none, labels)).count() == 0
