@@ -290,6 +290,26 @@ def test_words_said_over_and_over(spark, prose):
     assert got[50].n_repeated >= 370 and got[51].n_repeated >= 370
 
 
+def test_runs_of_one_word_meet_by_what_stands_beside_them(spark, prose, monkeypatch):
+    """Short runs of one word aren't paired on the run alone; long ones are covered whole; a passage that goes on beyond a run is found."""
+    import random
+
+    rng, pairs = random.Random(25), []
+    written = passages.written
+    monkeypatch.setattr(passages, "written", lambda df, label: pairs.append(out) or out if (out := written(df, label)) is not None and label == "passage-pairs" else out)
+    rows = [(i, f"{prose(rng, 60)} {'the ' * (36 + i % 13)} {prose(rng, 60)}") for i in range(40)]
+    rows += [(i, f"{prose(rng, 30)} {'the ' * n} {prose(rng, 30)}") for i, n in ((41, 400), (42, 60), (43, 215), (44, 50))]
+    beside = prose(rng, 16).split()
+    for i in (50, 51):  # no seed but the run's
+        own = [w if k % 4 else f"{w}{i}" for k, w in enumerate(beside)]
+        rows.append((i, f"{prose(rng, 60)} {'the ' * 45} {' '.join(own)} {prose(rng, 60)}"))
+    got = {r.doc_id: r for r in passages.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].n_repeated == 0 for i in range(40))
+    assert all(got[i].n_repeated >= n for i, n in ((41, 400), (42, 60), (43, 215), (44, 50)))
+    assert got[50].n_repeated >= 55 and got[51].leaders == [50]
+    assert sum(p.count() for p in pairs) <= 200  # of 1035
+
+
 def test_all_places_in_the_leader(spark, prose):
     import random
 
