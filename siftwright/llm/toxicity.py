@@ -65,6 +65,7 @@ CALIBRATION_ROWS = 20_000  # bound of the sample that the logistic fit sees
 PASS_WORDS = 4_000_000  # words of a broadcast: 64 MB
 FOLDS, CALIBRATION_FOLDS = 5, 4
 SLICES, TEXTS, FREQUENT = 2, 6, 1_000_000  # parts of the pairs that are counted one after another, parts of the texts that are scored so
+LOOKUPS = 3  # parts of each of these slices that are joined to words one after another
 SIEVE = 27  # 16 MB
 START = U64(0)  # stands before a text's first word
 
@@ -187,11 +188,16 @@ def second_order(docs: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     words_ = p.select("w", F.when(F.col("toxic") > 0, ratio).otherwise(0.0).alias("ratio"), (ratio - unknown).alias("own"))
     words_ = words_.join(before.select(F.col("u").alias("w"), (left("c1", "k1") - left("c0", "k0")).alias("before")), "w", "full_outer").na.fill(0.0)
     more = lambda n, k, p: F.when(F.col(n) > 0, F.log1p(F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / (DISCOUNT * F.col(k) * F.col(p)))).otherwise(0.0)
-    pairs = looked_up(looked_up(pairs, before.select("u", "k0", "k1"), "u"), p.select("w", "p0", "p1"), "w")
-    pairs = pairs.select("u", "w", (more("t", "k1", "p1") - more("o", "k0", "p0")).alias("more"), ((F.col("o") + F.col("t")) * FREQUENT >= total).alias("often"))
-    out = written(words_, "toxicity-ratios"), written(pairs.mapInArrow(_keyed, "pair long, more double, often boolean"), "toxicity-second"), unknown
-    discard(*parts, counts, before, p)
-    return out
+    words_, second_ = written(words_, "toxicity-ratios"), []
+    for part in parts:  # a slice is deleted once what comes of it is written
+        for k in range(LOOKUPS):
+            own = part.where(F.pmod(F.xxhash64("u"), F.lit(LOOKUPS)) == k)
+            own = looked_up(looked_up(own, before.select("u", "k0", "k1"), "u"), p.select("w", "p0", "p1"), "w")
+            own = own.select("u", "w", (more("t", "k1", "p1") - more("o", "k0", "p0")).alias("more"), ((F.col("o") + F.col("t")) * FREQUENT >= total).alias("often"))
+            second_.append(written(own.mapInArrow(_keyed, "pair long, more double, often boolean"), "toxicity-second"))
+        discard(part)
+    discard(counts, before, p)
+    return words_, functools.reduce(DataFrame.unionByName, second_), unknown
 
 
 def sieve(pairs: DataFrame) -> np.ndarray:

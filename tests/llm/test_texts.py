@@ -220,6 +220,30 @@ def test_toxicity_of_pairs_against_dictionaries(spark, prose, most, often, monke
         assert abs(got[i].score - 1 / (1 + math.exp(-np.dot(model.weights, [*want[i], pairs, 1])))) < 1e-9, i
 
 
+def test_toxicity_pairs_are_joined_to_words_in_parts(spark, prose, monkeypatch):
+    rng, events = random.Random(26), []
+    written, discard = toxicity.written, toxicity.discard
+
+    def write(df, label):
+        out = written(df, label)
+        events.append((label, out, out.count()))
+        return out
+
+    def gone(*tables):
+        events.extend(("gone", t, 0) for t in tables)
+        discard(*tables)
+
+    monkeypatch.setattr(toxicity, "written", write)
+    monkeypatch.setattr(toxicity, "discard", gone)
+    docs = spark.createDataFrame([(prose(rng, 60), i % 2) for i in range(60)], "text string, toxic int")
+    _, pairs, _ = toxicity.second_order(docs)
+    counts = [n for label, _, n in events if label == "toxicity-pairs"]
+    parts = [n for label, _, n in events if label == "toxicity-second"]
+    assert sum(parts) == sum(counts) == pairs.count() and max(parts) < sum(parts) / 3
+    order = [label if label != "gone" else "gone" * (t in [x for m, x, _ in events if m == "toxicity-pairs"]) for label, t, _ in events]
+    assert order.index("gone") < len(order) - 1 - order[::-1].index("toxicity-second")  # a slice goes before the next is joined
+
+
 def test_toxicity_of_an_empty_table(spark, none):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert toxicity.score_documents(none, toxicity.train(none, labels)).count() == 0
